@@ -10,16 +10,21 @@ and fine-tuned embeddings) so that every downstream operator can be checked exac
 Fit = one aggregation of the labelled sites into integer counts n(method, label, bucket, aa).
 Score of class c for a sequence = sum over its sites of n / (n_seq(c) * m * L), where m is the
 number of positions per bucket and L the window; p = s^8 / sum_c s^8 (a sharpened vote).
+
+Plan shape of ``predict_profiles``: the fitted profile is materialised and pivoted to one row per
+(bucket, aa) holding the counts of every class, so each query site meets exactly one broadcast
+row per predictor; one hash aggregation by header then sums fixed-width counters, and the
+probabilities and the argmax are computed inside the row with array functions (no window, no
+sort, no second shuffle).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from labelflow.constants import WINDOW
-from labelflow.operators.common import broadcast_if_bounded, materialize
+from labelflow.constants import RANK_DIGITS, WINDOW
+from labelflow.operators.common import materialize
 from labelflow.sources.sequences import sites
 
 # Fixed predictor definitions: (name, bucket expression over 1-based pos, positions per bucket)
@@ -28,19 +33,25 @@ PREDICTORS = (
     ("contrastive", "cast(floor((pos - 1) / 8) as int)", 8),
     ("foundation", "0", WINDOW),
 )
-
-
-def _keyed_sites(site_df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    keyed = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.expr(b).cast("int").alias("bucket"),
-                                         F.lit(m).alias("m")) for name, b, m in PREDICTORS]))
-    return site_df.select(*keep, "aa", keyed.alias("k")).select(*keep, "aa", "k.*")
+MAX_CLASSES = 10_000
 
 
 def fit_profiles(train_seqs: DataFrame) -> DataFrame:
-    """profile(method, label, bucket, aa, m, n): labelled site counts, materialised (the fitted model)."""
+    """profile(method, label, bucket, aa, m, n): labelled site counts, materialised (the fitted model).
+
+    One aggregation of the labelled sites by (label, pos, aa) (map-side combined to at most
+    classes x L x q groups); the block and composition profiles are re-aggregations of that small
+    table, so the large site stream is read once and never multiplied by the predictor count."""
     s = sites(train_seqs, keep=("label",))
-    prof = (_keyed_sites(s, keep=("label",))
-            .groupBy("method", "label", "bucket", "aa", "m").agg(F.count(F.lit(1)).alias("n")))
+    site_counts = s.groupBy("label", "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for name, b, m in PREDICTORS:
+        parts.append(site_counts.select(F.lit(name).alias("method"), "label", F.expr(b).cast("int").alias("bucket"),
+                                        "aa", F.lit(m).alias("m"), "n")
+                     .groupBy("method", "label", "bucket", "aa", "m").agg(F.sum("n").cast("long").alias("n")))
+    prof = parts[0]
+    for p in parts[1:]:
+        prof = prof.unionByName(p)
     return materialize(prof)
 
 
@@ -50,19 +61,71 @@ def class_sizes(profile: DataFrame) -> DataFrame:
             .groupBy("label").agg(F.sum("n").alias("n_seq")))
 
 
+def profile_classes(profile: DataFrame) -> list[tuple[str, int]]:
+    """Sorted (label, n_seq) of the fitted model; bounded by MAX_CLASSES (it is model metadata,
+    like the class count MLlib's classifiers collect)."""
+    rows = class_sizes(profile).orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return [(r["label"], int(r["n_seq"])) for r in rows]
+
+
+def _wide(profile: DataFrame, labels: list[str], window: int) -> DataFrame:
+    """One row per (pos, aa) with, for every predictor and class, the count its bucket holds
+    (a pivot by conditional sums, then each predictor's bucket looked up for every position).
+    Size bound by construction: L positions x |alphabet| symbols rows (<= 64 x 21) of
+    3 x len(labels) <= 3 x MAX_CLASSES counters, so it is broadcast without counting."""
+    out = None
+    for name, b, _ in PREDICTORS:
+        w = (profile.where(F.col("method") == name).groupBy("bucket", "aa")
+             .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(F.lit(0))).cast("long").alias(f"n_{name}_{i}")
+                    for i, c in enumerate(labels)]))
+        pos = (w.sparkSession.range(1, window + 1).select(F.col("id").cast("int").alias("pos"))
+               .withColumn("bucket", F.expr(b).cast("int")))
+        w = pos.join(w, "bucket").drop("bucket")
+        out = w if out is None else out.join(w, ["pos", "aa"], "full_outer")
+    return out
+
+
+def predict_wide(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW,
+                 keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(header, *keep, p_<method> array<double> over sorted classes); and the class list."""
+    cls = profile_classes(profile)
+    labels = [c for c, _ in cls]
+    s = sites(query_seqs, keep=("header",) + keep)
+    s = s.join(F.broadcast(_wide(profile, labels, window)), ["pos", "aa"], "left")
+    aggs = [F.sum(F.coalesce(F.col(f"n_{name}_{i}"), F.lit(0))).alias(f"h_{name}_{i}")
+            for name, _, _ in PREDICTORS for i in range(len(labels))]
+    agg = s.groupBy("header", *keep).agg(*aggs)
+    cols = []
+    for name, _, m in PREDICTORS:
+        sc = [F.col(f"h_{name}_{i}").cast("double") / float(n * m * window) for i, (_, n) in enumerate(cls)]
+        e = [x * x * x * x * x * x * x * x for x in sc]
+        total = e[0]
+        for x in e[1:]:
+            total = total + x
+        cols.append(F.array(*[x / total for x in e]).alias(f"p_{name}"))
+    return agg.select("header", *keep, *cols), labels
+
+
+def long_preds(wide: DataFrame, labels: list[str]) -> DataFrame:
+    """Wide probabilities -> preds(method, header, label, p), one row per class."""
+    lab = F.array(*[F.lit(c) for c in labels])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.col(f"p_{name}").alias("p"))
+                               for name, _, _ in PREDICTORS]))
+    x = wide.select("header", rows.alias("r")).select("header", "r.method", "r.p")
+    z = F.explode(F.arrays_zip(lab.alias("label"), F.col("p").alias("p")))
+    return x.select("method", "header", z.alias("z")).select("method", "header", "z.label", "z.p")
+
+
+def argmax(p: Column, labels: list[str]) -> tuple[Column, Column]:
+    """(label, p) of the largest probability, ties (after rounding) to the smaller label:
+    classes are sorted, and array_position returns the first maximum."""
+    rp = F.transform(p, lambda v: F.round(v, RANK_DIGITS))
+    idx = F.array_position(rp, F.array_max(rp)).cast("int")
+    return F.element_at(F.array(*[F.lit(c) for c in labels]), idx), F.element_at(p, idx)
+
+
 def predict_profiles(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """preds(method, header, label, p) for every query sequence and every class with a matching site.
-
-    ``query_seqs`` should be hash-partitioned by header (see plans): the join is a broadcast of the
-    bounded, materialised profile, and the aggregation and the per-header window then reuse that
-    partitioning, so the only shuffle is the one of the query rows themselves."""
-    prof = broadcast_if_bounded(profile.select("method", "bucket", "aa", "label", "n"))
-    sizes = F.broadcast(class_sizes(profile))  # one row per class, bounded with the profile
-    q = _keyed_sites(sites(query_seqs, keep=("header",)), keep=("header",))
-    scored = (q.join(prof, ["method", "bucket", "aa"])
-              .groupBy("header", "method", "label", "m").agg(F.sum("n").alias("hits"))
-              .join(sizes, "label")
-              .withColumn("s", F.col("hits").cast("double") / (F.col("n_seq") * F.col("m") * window).cast("double")))
-    e = F.col("s") * F.col("s") * F.col("s") * F.col("s") * F.col("s") * F.col("s") * F.col("s") * F.col("s")
-    w = Window.partitionBy("header", "method")
-    return scored.select("method", "header", "label", (e / F.sum(e).over(w)).alias("p"))
+    wide, labels = predict_wide(profile, query_seqs, window)
+    return long_preds(wide, labels)

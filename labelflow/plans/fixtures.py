@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.operators.profile import fit_profiles, predict_profiles
+from labelflow.operators.profile import fit_profiles, long_preds, predict_wide
 from labelflow.sources.sequences import seqs
 
 
@@ -14,9 +14,27 @@ def seq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs(spark, sf_dir).repartition("header")
 
 
-def profile_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(seq table, preds(method, header, label, p)) for the query split."""
+def profile_wide(spark: SparkSession, sf_dir: str, s: DataFrame | None = None):
+    """(seq table, wide preds(header, p_<method> arrays), sorted class labels) for the query split."""
     s = s if s is not None else seq_table(spark, sf_dir)
     prof = fit_profiles(s.where(F.col("is_train")).select("label", "sequence_align"))
-    preds = predict_profiles(prof, s.where(~F.col("is_train")).select("header", "sequence_align"))
-    return s, preds
+    wide, labels = predict_wide(prof, s.where(~F.col("is_train")).select("header", "sequence_align"))
+    return s, wide, labels
+
+
+def profile_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(seq table, preds(method, header, label, p)) for the query split, one row per class."""
+    s, wide, labels = profile_wide(spark, sf_dir, s)
+    return s, long_preds(wide, labels)
+
+
+def best_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(seq table, best(method, header, label, p)): the argmax per method, computed in-row."""
+    from labelflow.operators.profile import PREDICTORS, argmax
+    s, wide, labels = profile_wide(spark, sf_dir, s)
+    rows = []
+    for name, _, _ in PREDICTORS:
+        lab, p = argmax(F.col(f"p_{name}"), labels)
+        rows.append(F.struct(F.lit(name).alias("method"), lab.alias("label"), p.alias("p")))
+    best = wide.select("header", F.explode(F.array(*rows)).alias("r")).select("r.method", "header", "r.label", "r.p")
+    return s, best

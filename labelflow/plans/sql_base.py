@@ -24,13 +24,17 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "prof": (("pk",), """select method, label, bucket, aa, m, count(*) as n from pk where is_train
         group by method, label, bucket, aa, m"""),
     "sizes": (("prof",), """select label, sum(n) as n_seq from prof where method = 'msa' and bucket = 1 group by label"""),
-    "preds": (("prof", "sizes"), f"""select method, header, label, (s*s*s*s*s*s*s*s) / sum(s*s*s*s*s*s*s*s)
+    "sc": (("prof",), """select q.header, q.method, f.label, sum(f.n) as hits from pk q
+        join prof f on q.method = f.method and q.bucket = f.bucket and q.aa = f.aa
+        where not q.is_train group by q.header, q.method, f.label"""),
+    "preds": (("sc", "sizes", "seqs"), f"""select method, header, label, (s*s*s*s*s*s*s*s) / sum(s*s*s*s*s*s*s*s)
           over (partition by header, method) as p
-        from (select sc.*, cast(sc.hits as double) / cast(z.n_seq * sc.m * {L} as double) as s
-              from (select q.header, q.method, f.label, q.m, sum(f.n) as hits from pk q
-                    join prof f on q.method = f.method and q.bucket = f.bucket and q.aa = f.aa
-                    where not q.is_train group by q.header, q.method, f.label, q.m) sc
-              join sizes z on sc.label = z.label) t"""),
+        from (select h.method, h.header, z.label,
+                     cast(coalesce(sc.hits, 0) as double) / cast(z.n_seq * h.m * {L} as double) as s
+              from (select q.header, p.method, p.m from seqs q,
+                    (values ('msa', 1), ('contrastive', 8), ('foundation', {L})) p(method, m) where not q.is_train) h
+              cross join sizes z
+              left join sc on sc.header = h.header and sc.method = h.method and sc.label = z.label) t"""),
     "best": (("preds",), """select method, header, label, p from (
         select *, row_number() over (partition by method, header order by round(p, 9) desc, label) as rn
         from preds) z where rn = 1"""),

@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from labelflow.constants import GAP, WINDOW
 from labelflow.functions.residues import residue_letters, strip_gaps
-from labelflow.sources.tables import table
+from labelflow.sources.tables import ensure_parallelism, table
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row per window: doc_id, k, sequence_align (narrow, no shuffle)."""
+    """docs(doc_id, text, ...) -> one row per window: doc_id, k, sequence_align (narrow, no shuffle).
+
+    The chunks are cut inside the document row first and only the chunk is exploded, so a row
+    never carries the whole text (linear in text length, also for very long documents)."""
     d = docs.select("*", residue_letters("text").alias("_s")).drop("text").where(F.length("_s") > 0)
-    k = F.explode(F.sequence(F.lit(0), ((F.length("_s") - 1) / window).cast("int")))
-    w = d.select("*", k.alias("k"))
-    aligned = F.rpad(F.expr(f"substr(_s, k * {window} + 1, {window})"), window, GAP)
-    return w.withColumn("sequence_align", aligned).drop("_s")
+    # one linear regex pass cuts all chunks (substr per chunk would rescan the UTF-8 prefix each time)
+    chunks = F.regexp_extract_all(F.col("_s"), F.lit(f"(.{{1,{window}}})"), 1)
+    w = d.select(*[c for c in d.columns if c != "_s"], F.posexplode(chunks).alias("k", "_c"))
+    return w.withColumn("sequence_align", F.rpad("_c", window, GAP)).drop("_c")
 
 
 def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """seqs(header, sequence, sequence_align, label, is_train, doc_id)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label")),
+                              "doc_id")
     # labelled documents; distinct guards against duplicate doc ids fanning out the join
     lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("is_train", F.lit(True))
     w = windows(docs, window)
