@@ -58,3 +58,28 @@ def with_(*names: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
     parts = [f"{n} as ({VIEWS[n][1]})" for n in _order(names)]
     parts += [f"{n} as ({body})" for n, body in extra]
     return "with " + ",\n".join(parts) + "\n"
+
+VIEWS.update({
+    "scores": (("preds", "seqs"), """select p.method, p.header, s.label as label_true, p.label, p.p,
+        round(p.p, 9) as score, cast(p.label = s.label as integer) as y
+        from preds p join seqs s on p.header = s.header"""),
+    "bestt": (("best", "seqs"), """select b.method, b.header, s.label as label_true, b.label, b.p
+        from best b join seqs s on b.header = s.header"""),
+    "tied": (("scores",), """select method, label, score, cast(sum(y) as bigint) as tp_d, cast(sum(1 - y) as bigint) as fp_d
+        from scores group by method, label, score"""),
+    "cum": (("tied",), """select *, cast(sum(tp_d) over w as bigint) as tp, cast(sum(fp_d) over w as bigint) as fp,
+        cast(sum(tp_d) over (partition by method, label) as bigint) as P,
+        cast(sum(fp_d) over (partition by method, label) as bigint) as N
+        from tied window w as (partition by method, label order by score desc rows between unbounded preceding and current row)"""),
+    "roc": (("cum",), """select method, label, score as threshold, tp, fp, fp / N as fpr, tp / P as tpr from cum
+        union all select distinct method, label, null, 0, 0, 0.0, 0.0 from cum"""),
+    "auc_c": (("cum",), """select method, label,
+        case when sum(tp_d) > 0 and sum(fp_d) > 0 then sum(fp_d * (tp - tp_d / 2.0)) / (sum(tp_d) * sum(fp_d)) end as auc,
+        cast(sum(tp_d) as bigint) as P, cast(sum(fp_d) as bigint) as N from cum group by method, label"""),
+    "f1c": (("bestt",), """select method, label, sum(tp) as tp, sum(n_pred) as n_pred, sum(n_true) as n_true,
+        2.0 * sum(tp) / (sum(n_pred) + sum(n_true)) as f1 from (
+          select method, label, cast(label = label_true as integer) as tp, 1 as n_pred, 0 as n_true from bestt
+          union all select method, label_true, 0, 0, 1 from bestt) z group by method, label"""),
+    "f1m": (("f1c",), """select method, avg(f1) as f1_macro, sum(f1 * n_true) / sum(n_true) as f1_weighted,
+        sum(tp) / sum(n_true) as accuracy from f1c group by method"""),
+})
