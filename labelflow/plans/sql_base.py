@@ -14,7 +14,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "seqs": (("win",), f"""select cast(w.doc_id as varchar) || '_' || cast(w.k as varchar) as header,
         replace(rpad(substr(w.s, cast(w.k * {L} + 1 as bigint), {L}), {L}, '-'), '-', '') as sequence,
         rpad(substr(w.s, cast(w.k * {L} + 1 as bigint), {L}), {L}, '-') as sequence_align,
-        w.label, (l.doc_id is not null) as is_train, w.doc_id
+        w.label, (l.doc_id is not null) as is_train, w.doc_id, cast(w.k as integer) as k
         from win w left join (select distinct doc_id from labels) l on w.doc_id = l.doc_id"""),
     "sites": (("seqs",), f"""select header, is_train, label, cast(r.i as integer) as pos,
         substr(sequence_align, cast(r.i as bigint), 1) as aa from seqs, range(1, {L + 1}) r(i)"""),

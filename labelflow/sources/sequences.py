@@ -29,7 +29,7 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
-    """seqs(header, sequence, sequence_align, label, is_train, doc_id)."""
+    """seqs(header, sequence, sequence_align, label, is_train, doc_id, k)."""
     docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label")),
                               "doc_id")
     # labelled documents; distinct guards against duplicate doc ids fanning out the join
@@ -40,7 +40,7 @@ def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
                    strip_gaps("sequence_align").alias("sequence"),
                    "sequence_align", "label",
                    F.coalesce("is_train", F.lit(False)).alias("is_train"),
-                   "doc_id"))
+                   "doc_id", F.col("k").cast("int").alias("k")))
     return out
 
 
