@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from labelflow.plans import q_augment, q_evaluate, q_identity, q_residues  # noqa: F401
+    from labelflow.plans import q_augment, q_evaluate, q_identity, q_residues, q_sitestats  # noqa: F401

@@ -93,3 +93,64 @@ VIEWS.update({
         group by q.header"""),
     "confid": (("conf", "seqid"), """select c.*, i.seq_id_train from conf c join seqid i on c.header = i.header"""),
 })
+
+_A = "'-ACDEFGHIKLMNPQRSTVWY'"
+VIEWS.update({
+    "gsz": (("seqs",), """select coalesce(label, 'global') as grp, count(*) as n_seq from seqs group by grouping sets ((label), ())"""),
+    "fi": (("sites", "gsz"), """select c.grp, c.pos, c.aa, c.n, c.n / z.n_seq as f from (
+        select coalesce(label, 'global') as grp, pos, aa, count(*) as n from sites
+        group by grouping sets ((label, pos, aa), (pos, aa))) c join gsz z on c.grp = z.grp"""),
+    "fij": (("sites",), f"""select coalesce(x.label, 'global') as grp, x.pos as i, cast(instr({_A}, x.aa) - 1 as integer) as a,
+        y.pos as j, cast(instr({_A}, y.aa) - 1 as integer) as b, count(*) as n
+        from sites x join sites y on x.header = y.header and x.pos < y.pos
+        group by grouping sets ((x.label, x.pos, x.aa, y.pos, y.aa), (x.pos, x.aa, y.pos, y.aa))"""),
+    "gcnt": (("sites",), """select label as grp, pos, aa, count(*) as n from sites where is_train group by label, pos, aa"""),
+    "gcdf": (("gcnt",), f"""select grp, pos, aa,
+        sum(n) over (partition by grp, pos order by instr({_A}, aa) rows between unbounded preceding and current row) - n as lo,
+        sum(n) over (partition by grp, pos order by instr({_A}, aa) rows between unbounded preceding and current row) as hi
+        from gcnt"""),
+    "gen": (("gcdf", "seqs"), f"""select 'gen_' || cast(row_number() over (order by label, target_idx) - 1 as varchar) as header,
+        replace(sequence_align, '-', '') as sequence, sequence_align, label from (
+          select d.target_id, d.label, d.target_idx, string_agg(c.aa, '' order by d.pos) as sequence_align from (
+            select t.*, z.pos, ((('0x' || substr(md5('11:' || t.target_id || ':' || cast(z.pos as varchar)), 1, 8))::bigint)
+                   * z.N) // 4294967296 as r
+            from (select l.label, cast(r.i as integer) as target_idx, l.label || ':' || cast(r.i as varchar) as target_id
+                  from (select distinct label from seqs where is_train) l, range(0, 1000) r(i)) t
+            join (select grp, pos, max(hi) as N from gcdf group by grp, pos) z on z.grp = t.label) d
+          join gcdf c on c.grp = d.label and c.pos = d.pos and d.r >= c.lo and d.r < c.hi
+          group by d.target_id, d.label, d.target_idx) g"""),
+})
+
+
+def pearson_sql(data_sites: str, model_sites: str) -> str:
+    """SQL body computing the Cij Pearson per group between two site views (header, label, pos, aa)."""
+    L, Qn = 64, 21
+    n = L * (L - 1) // 2 * Qn * Qn
+    return f"""
+    dsz as (select coalesce(label, 'global') as grp, count(distinct header) as n_seq from {data_sites}
+            group by grouping sets ((label), ())),
+    msz as (select coalesce(label, 'global') as grp, count(distinct header) as n_seq from {model_sites}
+            group by grouping sets ((label), ())),
+    dfi as (select c.grp, c.pos, c.a, c.n / z.n_seq as f from (select coalesce(label, 'global') as grp, pos,
+            cast(instr({_A}, aa) - 1 as integer) as a, count(*) as n from {data_sites} group by grouping sets ((label, pos, aa), (pos, aa))) c
+            join dsz z on c.grp = z.grp),
+    mfi as (select c.grp, c.pos, c.a, c.n / z.n_seq as f from (select coalesce(label, 'global') as grp, pos,
+            cast(instr({_A}, aa) - 1 as integer) as a, count(*) as n from {model_sites} group by grouping sets ((label, pos, aa), (pos, aa))) c
+            join msz z on c.grp = z.grp),
+    dfij as (select c.grp, c.i, c.a, c.j, c.b, c.n / z.n_seq as f from (select coalesce(x.label, 'global') as grp, x.pos as i,
+            cast(instr({_A}, x.aa) - 1 as integer) as a, y.pos as j, cast(instr({_A}, y.aa) - 1 as integer) as b, count(*) as n
+            from {data_sites} x join {data_sites} y on x.header = y.header and x.pos < y.pos
+            group by grouping sets ((x.label, x.pos, x.aa, y.pos, y.aa), (x.pos, x.aa, y.pos, y.aa))) c join dsz z on c.grp = z.grp),
+    mfij as (select c.grp, c.i, c.a, c.j, c.b, c.n / z.n_seq as f from (select coalesce(x.label, 'global') as grp, x.pos as i,
+            cast(instr({_A}, x.aa) - 1 as integer) as a, y.pos as j, cast(instr({_A}, y.aa) - 1 as integer) as b, count(*) as n
+            from {model_sites} x join {model_sites} y on x.header = y.header and x.pos < y.pos
+            group by grouping sets ((x.label, x.pos, x.aa, y.pos, y.aa), (x.pos, x.aa, y.pos, y.aa))) c join msz z on c.grp = z.grp),
+    fi2 as (select coalesce(d.grp, m.grp) as grp, coalesce(d.pos, m.pos) as pos, coalesce(d.a, m.a) as a,
+            coalesce(d.f, 0) as fd, coalesce(m.f, 0) as fm from dfi d full outer join mfi m on d.grp = m.grp and d.pos = m.pos and d.a = m.a),
+    cells as (select l.grp, l.pos as i, l.a, r.pos as j, r.a as b, l.fd as fdi, l.fm as fmi, r.fd as fdj, r.fm as fmj
+            from fi2 l join fi2 r on l.grp = r.grp and l.pos < r.pos),
+    xy as (select c.grp, coalesce(d.f, 0) - c.fdi * c.fdj as x, coalesce(m.f, 0) - c.fmi * c.fmj as y from cells c
+            left join dfij d on d.grp = c.grp and d.i = c.i and d.a = c.a and d.j = c.j and d.b = c.b
+            left join mfij m on m.grp = c.grp and m.i = c.i and m.a = c.a and m.j = c.j and m.b = c.b),
+    mo as (select grp, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx, sum(y * y) as syy from xy group by grp)
+    select grp as label, round((sxy - sx * sy / {n}.0) / sqrt((sxx - sx * sx / {n}.0) * (syy - sy * sy / {n}.0)), 6) as pearson from mo"""
