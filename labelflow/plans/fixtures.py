@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelflow.operators.common import materialize
+
 from labelflow.operators.profile import fit_profiles, long_preds, predict_wide
 from labelflow.sources.sequences import seqs
 
 
 def seq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows, hash-partitioned by header once so later joins/aggregations on header reuse it."""
-    return seqs(spark, sf_dir).repartition("header")
+    """All windows, hash-partitioned by header once so later joins/aggregations on header reuse it.
+    Persisted (memory, spilling to disk) because most queries read it several times; a lost block
+    is recomputed from its lineage."""
+    return seqs(spark, sf_dir).repartition("header").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def profile_wide(spark: SparkSession, sf_dir: str, s: DataFrame | None = None):
@@ -19,7 +24,8 @@ def profile_wide(spark: SparkSession, sf_dir: str, s: DataFrame | None = None):
     s = s if s is not None else seq_table(spark, sf_dir)
     prof = fit_profiles(s.where(F.col("is_train")).select("label", "sequence_align"))
     wide, labels = predict_wide(prof, s.where(~F.col("is_train")).select("header", "sequence_align"))
-    return s, wide, labels
+    # the prediction archive: written once to the shared checkpoint folder, read by every consumer
+    return s, materialize(wide), labels
 
 
 def profile_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

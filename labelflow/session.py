@@ -13,10 +13,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, app: str = "labelflow", shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(master: str | None = None, app: str = "labelflow", shuffle_partitions: int | None = None,
+              driver_memory: str = "16g") -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor, its heap is the only memory knob
+            b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
