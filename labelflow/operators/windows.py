@@ -18,28 +18,46 @@ def _order_col(c: str, descending: bool) -> Column:
     return F.col(c).desc() if descending else F.col(c).asc()
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = True,
-                 partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
-    """Adds ``<v><suffix>`` = sum of v over rows of the same key group ordered by ``order``
-    (rows up to and including the current one). ``order`` must make rows unique within a group
-    for a deterministic result (collapse ties first)."""
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running_agg(df: DataFrame, keys: list[str], order: list[str], values: list[str], fn: str = "sum",
+                descending: bool = False, exclusive: bool = False, partitions: int | None = None,
+                suffix: str | None = None) -> DataFrame:
+    """Adds ``<v><suffix>`` = fn (sum/min/max) of v over the rows of the same key group that come
+    before the current one in ``order`` (and the current one unless ``exclusive``). ``order`` must
+    make rows unique within a group for a deterministic result (collapse ties first)."""
     spark = df.sparkSession
+    agg = _AGG[fn]
+    suffix = suffix or f"_{'x' if exclusive else ''}{'cum' if fn == 'sum' else 'run' + fn}"
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ords = [F.col(k).asc() for k in keys] + [_order_col(o, descending) for o in order]
     # materialised once (reliable checkpoint): range bounds come from sampling, so the partition id
     # must be fixed before the two branches below read it
     d = materialize(df.repartitionByRange(n, *ords).withColumn("_pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("_pid", *keys).orderBy(*[_order_col(o, descending) for o in order])
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.select("*", *[F.sum(v).over(local_w).alias(f"_l_{v}") for v in values])
-    totals = d.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+               .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
+    local = d.select("*", *[agg(v).over(local_w).alias(f"_l_{v}") for v in values])
+    totals = d.groupBy("_pid", *keys).agg(*[agg(v).alias(f"_t_{v}") for v in values])
     prev_w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{v}").over(prev_w), F.lit(0)).alias(f"_o_{v}")
-                                               for v in values])
+    offsets = totals.select("_pid", *keys, *[agg(f"_t_{v}").over(prev_w).alias(f"_o_{v}") for v in values])
     # offsets has at most (#range partitions + #groups) rows: a range partition covers a contiguous
     # key range, so the broadcast size is bounded by the partition count, not by the data
     j = local.join(F.broadcast(offsets), ["_pid", *keys])
-    return j.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values])
+
+    def comb(v):
+        l, o = F.col(f"_l_{v}"), F.col(f"_o_{v}")
+        if fn == "sum":
+            return F.coalesce(l, F.lit(0)) + F.coalesce(o, F.lit(0))
+        pick = F.least if fn == "min" else F.greatest
+        return pick(l, o)  # least/greatest skip nulls
+    return j.select(*df.columns, *[comb(v).alias(f"{v}{suffix}") for v in values])
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = True,
+                 partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+    """Cumulative sums (inclusive) per key group in ``order`` (see running_agg)."""
+    return running_agg(df, keys, order, values, "sum", descending, False, partitions, suffix)
 
 
 def consecutive_ids(df: DataFrame, order: list[str], name: str = "row_id", start: int = 0,

@@ -154,3 +154,14 @@ def pearson_sql(data_sites: str, model_sites: str) -> str:
             left join mfij m on m.grp = c.grp and m.i = c.i and m.a = c.a and m.j = c.j and m.b = c.b),
     mo as (select grp, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx, sum(y * y) as syy from xy group by grp)
     select grp as label, round((sxy - sx * sy / {n}.0) / sqrt((sxx - sx * sx / {n}.0) * (syy - sy * sy / {n}.0)), 6) as pearson from mo"""
+
+VIEWS.update({
+    "emb": ((), """select vec_id, label, cast(generate_subscripts(embedding, 1) - 1 as integer) as dim,
+        cast(unnest(embedding) as double) as x from embeddings"""),
+    "w1": ((), """select cast(d.i as integer) as dim, cast(h.i as integer) as h, ((d.i * 31 + h.i * 17) % 101 - 50) / 250.0e0 as w
+        from range(0, 64) d(i), range(0, 16) h(i)"""),
+    "w2": ((), """select cast(h.i as integer) as h, cast(o.i as integer) as o, ((h.i * 13 + o.i * 7) % 53 - 26) / 100.0e0 as w
+        from range(0, 16) h(i), range(0, 8) o(i)"""),
+    "embn": (("emb",), """select e.vec_id, e.label, e.dim, e.x / n.norm as x from emb e
+        join (select vec_id, sqrt(sum(x * x)) as norm from emb group by vec_id) n on e.vec_id = n.vec_id"""),
+})
