@@ -13,6 +13,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# numpy inside tasks: one BLAS thread per task (the task slots already use every core)
+for _v in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_v, "1")
+
+
 def get_spark(master: str | None = None, app: str = "labelflow", shuffle_partitions: int | None = None,
               driver_memory: str = "16g") -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -22,6 +27,9 @@ def get_spark(master: str | None = None, app: str = "labelflow", shuffle_partiti
             # local mode: the driver JVM is the only executor, its heap is the only memory knob
             b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.ui.enabled", "false")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
