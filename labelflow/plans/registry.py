@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from labelflow.plans import q_augment, q_embeddings, q_evaluate, q_generate, q_identity, q_learned, q_residues, q_sitestats, q_tokens_rbm  # noqa: F401
+    from labelflow.plans import q_augment, q_embeddings, q_evaluate, q_generate, q_grid, q_identity, q_learned, q_residues, q_sitestats, q_tokens_rbm  # noqa: F401
