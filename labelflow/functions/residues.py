@@ -14,7 +14,7 @@ def _c(x) -> Column:
 
 def residue_letters(text) -> Column:
     """Upper-case ASCII letters of a text, letters outside the alphabet mapped to the gap."""
-    letters = F.upper(F.regexp_replace(_c(text), "[^A-Za-z]", ""))
+    letters = F.upper(F.regexp_replace(_c(text), "[^A-Za-z]+", ""))
     return F.translate(letters, NON_ALPHABET_LETTERS, GAP * len(NON_ALPHABET_LETTERS))
 
 
