@@ -30,6 +30,7 @@ def get_spark(master: str | None = None, app: str = "labelflow", shuffle_partiti
          .config("spark.executorEnv.OMP_NUM_THREADS", "1")
          .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
