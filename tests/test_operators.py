@@ -120,3 +120,36 @@ def test_density_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.0,)], "x double").withColumn("g", F.lit(1))
     h = {r.bin: r.density for r in I.density_histogram(df, "x", ["g"], width=0.5).collect()}
     assert h == {0: pytest.approx(0.5), 1: pytest.approx(1.5)}
+
+
+def test_factorised_pearson_matches_dense_brute_force(spark):
+    from labelflow.constants import ALPHABET, Q
+    rng = np.random.default_rng(1)
+    L = 5
+    alpha = list("-ACDEG")
+
+    def rand_set(n, lab):
+        return [(lab, "".join(rng.choice(alpha, L))) for _ in range(n)]
+    data = rand_set(30, "a") + rand_set(20, "b")
+    model = rand_set(25, "a") + rand_set(15, "b")
+
+    def dense_c(rows):
+        codes = np.array([[ALPHABET.index(ch) for ch in s] for _, s in rows])
+        oh = np.zeros((len(rows), L, Q))
+        oh[np.arange(len(rows))[:, None], np.arange(L)[None, :], codes] = 1
+        fi = oh.mean(0)
+        fij = np.einsum("nia,njb->iajb", oh, oh) / len(rows)
+        c = fij - np.einsum("ia,jb->iajb", fi, fi)
+        iu = [(i, j) for i in range(L) for j in range(i + 1, L)]
+        return np.concatenate([c[i, :, j, :].ravel() for i, j in iu])
+
+    exp = {}
+    for g in ("a", "b", "global"):
+        d = [r for r in data if g == "global" or r[0] == g]
+        m = [r for r in model if g == "global" or r[0] == g]
+        exp[g] = np.corrcoef(dense_c(d), dense_c(m))[0, 1]
+    dd = spark.createDataFrame(data, "label string, sequence_align string")
+    mm = spark.createDataFrame(model, "label string, sequence_align string")
+    got = {r.label: r.pearson for r in T.pair_correlation(dd, mm, L=L).collect()}
+    for g, v in exp.items():
+        assert got[g] == pytest.approx(v, abs=1e-9)
