@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from labelflow.llm import exact_dedup, sharding
+from labelflow.llm import exact_dedup, line_dedup, packing, pieces, sharding
 from labelflow.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -22,6 +23,28 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_sentencepiece")
+def op1(spark, sf_dir):
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP4_SQL = """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+j as (select k.doc_id, k.line, k.pos, s.key is not null and k.doc_id <> s.keeper as gone from k left join s using (key))
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(case when not gone then line end, chr(10) order by pos), '')) as kept_sha256
+from j group by doc_id"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+
+
 #: DuckDB: group_size and the staying row per text without ASCII white space
 OP6_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n,
@@ -38,6 +61,11 @@ def op6(spark, sf_dir):
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
