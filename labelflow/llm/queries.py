@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from labelflow.llm import exact_dedup, line_dedup, packing, pieces, sharding
+from labelflow.llm import exact_dedup, line_dedup, near_dup, packing, pieces, sharding
 from labelflow.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -66,6 +66,24 @@ def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+OP9_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+links as (select p.x, p.y from p join n nx on nx.doc_id = p.x join n ny on ny.doc_id = p.y where p.c * 5 >= 4 * (nx.n + ny.n - p.c)),
+r(x, y) as (select x, y from links union select r.x, l.y from r join links l on r.y = l.x)
+select d.doc_id, least(d.doc_id, coalesce((select min(y) from r where r.x = d.doc_id), d.doc_id)) as class_id,
+  (select count(*) from links where links.x = d.doc_id) as n_links
+from d"""
+
+
+@query("op9_ngram_jaccard", OP9_SQL)
+def op9(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
