@@ -53,6 +53,8 @@ def fold_into_state(fingerprints: DataFrame, log_dir: str, state_dir: str) -> Da
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE)
+    # a store is closed when its task has committed: local disk holds the running tasks' stores only
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     stream = session.readStream.schema(FINGERPRINT).parquet(log_dir)
     query = (stream.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
              .writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir)
