@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from labelflow.llm import exact_dedup, line_dedup, near_dup, packing, pieces, sharding
+from labelflow.llm import exact_dedup, line_dedup, near_dup, packing, pieces, quality, sharding, toxicity
 from labelflow.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -45,6 +45,13 @@ def op4(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
 
 
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 #: DuckDB: group_size and the staying row per text without ASCII white space
 OP6_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n,
@@ -66,6 +73,13 @@ def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+@query("op8_quality_rules")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 OP9_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
