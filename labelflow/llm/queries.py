@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from labelflow.llm import exact_dedup, line_dedup, near_dup, packing, pieces, quality, sharding, toxicity
+from labelflow.llm import exact_dedup, html_main, line_dedup, near_dup, packing, pieces, quality, sharding, toxicity, warc
 from labelflow.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -28,6 +28,29 @@ def op1(spark, sf_dir):
     return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: DuckDB has no base32 function: eight groups of 20 bits give four letters each
+OP2_SQL = """
+with t as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+g as (select *, min(page_id) over (partition by sha) as first_id from t)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(sha, (i // 4) * 5 + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int) + 1, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from g"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract_main(pages, html_main.fit_regions(pages))
+
+
 OP4_SQL = """
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
