@@ -41,3 +41,11 @@ def text_or_empty(col: str = "text") -> Column:
 def stripped(c: Column) -> Column:
     """The text without any ASCII white space."""
     return F.regexp_replace(c, r"[\x20\x09-\x0D]+", "")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

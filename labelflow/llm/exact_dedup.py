@@ -7,9 +7,9 @@ reports a hit (more than one row), the full normalised bytes are compared with t
 stays; rows that differ (a digest collision) are regrouped by their bytes.
 
 Defined cases: a null text is the empty text, and all white-space texts equal it; a null identifier
-sorts after every other one and may stay; repeated rows are members of their group like any others
-(of wholly equal rows every copy of the staying identifier is marked kept); an empty table gives no
-rows; other columns are ignored, whatever their names.
+sorts after every other one and may stay; repeated rows are members of their group like any others, and of
+wholly equal rows the one with the largest locator stays (all of them, where the table has no locators); an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import scratch, stored, stripped, text_or_empty
+from labelflow.llm.common import scratch, stored, stripped, text_or_empty, unused
 
 STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FINGERPRINT = "digest string, id bigint, n_cp int, locator string"
@@ -75,42 +75,46 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_he
     state = stored(state, "exact-dedup-state")
     # hits: the bytes of the staying row, fetched once per digest; single rows need no comparison
     hits = state.where("group_size > 1").select("digest", F.col("best.n_cp").alias("h_n"), F.col("best.neg").alias("h_neg"))
-    full = rows.select("digest", "id", "n_cp", "norm")
+    full = rows.select("digest", "id", "n_cp", "locator", "norm")
     kept_bytes = (full.join(hits, "digest")
                   .where((F.col("n_cp") == F.col("h_n")) & (F.coalesce(-F.col("id"), F.lit(-(2 ** 63) + 1)) == F.col("h_neg")))
                   .groupBy("digest").agg(F.first("norm").alias("kept_norm")))
     checked = (full.join(state, "digest").join(kept_bytes.hint("shuffle_hash"), "digest", "left")
-               .select("id", "digest", "n_cp", "best", "group_size",
+               .select("id", "digest", "n_cp", "locator", "best", "group_size",
                        F.when((F.col("group_size") > 1) & (F.col("norm") != F.col("kept_norm")), F.col("norm")).alias("other")))
     checked = stored(checked, "exact-dedup-checked")
     # digests under which different bytes met: group their rows by the bytes themselves
     mixed = checked.where("other is not null").select("digest").distinct()
     clean = checked.join(mixed, "digest", "left_anti")
-    split = checked.join(mixed, "digest").withColumn("locator", F.lit(None).cast("string"))
+    split = checked.join(mixed, "digest")
     part = split.groupBy("digest", "other").agg(F.max(_rank()).alias("p_best"), F.count(F.lit(1)).alias("p_size"))
     split = (split.alias("a").join(part.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.other").eqNullSafe(F.col("b.other")))
-             .select("a.id", "a.digest", "a.n_cp", F.col("b.p_best").alias("best"), F.col("b.p_size").alias("group_size")))
-    out = clean.select("id", "digest", "n_cp", "best", "group_size").unionByName(split)
+             .select("a.id", "a.digest", "a.n_cp", "a.locator", F.col("b.p_best").alias("best"), F.col("b.p_size").alias("group_size")))
+    out = clean.select("id", "digest", "n_cp", "locator", "best", "group_size").unionByName(split)
     keep = F.when(F.col("best.neg") != -(2 ** 63) + 1, -F.col("best.neg"))
-    return out.select("id", "digest", "n_cp", keep.alias("keep_id"), "group_size", F.col("best.locator").alias("locator"),
-                      (keep.eqNullSafe(F.col("id")) & (F.col("n_cp") == F.col("best.n_cp"))).alias("kept"))
+    same = keep.eqNullSafe(F.col("id")) & (F.col("n_cp") == F.col("best.n_cp")) & F.col("locator").eqNullSafe(F.col("best.locator"))
+    return out.select("id", "digest", "n_cp", "locator", keep.alias("keep_id"), "group_size", F.col("best.locator").alias("keep_locator"), same.alias("kept"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns. Wholly equal rows (same identifier and text) leave one."""
-    stay = exact_groups(docs).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_cp").alias("_n")).distinct()
-    text = text_or_empty()
-    keyed = docs.withColumns({"_k": sha256_hex(stripped(text)), "_l": F.length(text)})
-    joined = keyed.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_digest")) & (F.col("_l") == F.col("_n")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_k", "_l"]).drop("_k", "_l")
+    locator = locator_of(docs)
+    mine, theirs = (lambda x: unused(docs, f"own {x}")), (lambda x: unused(docs, f"kept {x}"))
+    if locator is not None:
+        gone = exact_groups(docs, locator=locator).where("not kept").select(F.col("locator").alias(theirs("locator")))
+        return docs.withColumn(mine("locator"), locator).join(gone, F.col(mine("locator")) == F.col(theirs("locator")), "left_anti").drop(mine("locator"))
+    stay = exact_groups(docs).where("kept").select(*(F.col(c).alias(theirs(c)) for c in ("id", "digest", "n_cp"))).distinct()
+    keyed = docs.withColumns({mine("digest"): sha256_hex(stripped(text_or_empty())), mine("n_cp"): F.length(text_or_empty())})
+    joined = keyed.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col(theirs("id"))) & (F.col(mine("digest")) == F.col(theirs("digest"))) & (F.col(mine("n_cp")) == F.col(theirs("n_cp"))), "left_semi")
+    return joined.dropDuplicates(["doc_id", mine("digest"), mine("n_cp")]).drop(mine("digest"), mine("n_cp"))
 
 
 def locator_of(docs: DataFrame) -> Column | None:
     """File and row of each document, where the table comes from files."""
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index")
+        docs.select("_metadata.file_path", "_metadata.row_index")
     except Exception as e:  # only an unresolved column means "not from files"
         if "UNRESOLVED_COLUMN" in str(e) or "cannot be resolved" in str(e):
             return None
         raise
-    return F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
