@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import WHITE, stored, text_or_empty
+from labelflow.llm.common import stored, text_or_empty, unused
 from labelflow.llm.components import components
+from labelflow.llm.words import WordHash, mix, ngram_hashes, word_hashes, words_of
 
 TREES, DEPTH = 32, 8
 #: of a group of the exact comparison: texts and shingles per block
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
-TABLE_ROWS = 400_000
-_SPACES = str.maketrans({c: " " for c in WHITE})
 
 
 def prefix_depth(threshold: Fraction, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -45,39 +44,10 @@ def prefix_depth(threshold: Fraction, recall: float, trees: int = TREES, depth:
     return depth
 
 
-class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= TABLE_ROWS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def words_of(text: str) -> list[str]:
-    # split() alone would also cut at white space that is not ASCII
-    return text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w for w in text.translate(_SPACES).split(" ") if w]
-
-
 def shingle_set(text: str, table: WordHash, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams."""
     words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    s = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[i: len(words) - k + 1 + i]
-    return np.unique(mix(s))
+    return np.unique(ngram_hashes(word_hashes(words, table), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def permutations(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), n: in
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose identifier is that of their class; of equal identifiers the texts that hold it."""
-    stay = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64(text_or_empty()))
-    joined = keyed.join(stay.hint("shuffle_hash"), (F.col("_k") == F.col("_r")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_k"]).drop("_k")
+    """The documents whose identifier is that of their class, all columns (wholly equal rows stay together)."""
+    mine, doc, row = unused(docs, "own row"), unused(docs, "kept doc"), unused(docs, "kept row")
+    stay = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
+    keyed = docs.withColumn(mine, F.xxhash64(text_or_empty()))
+    return keyed.join(stay.hint("shuffle_hash"), (F.col(mine) == F.col(row)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)), "left_semi").drop(mine)

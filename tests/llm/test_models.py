@@ -1,0 +1,177 @@
+"""Quality rules and toxicity: counts against brute force, models on held-out rows, defined cases."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import SF_SMALL
+from helpers import CLASH, same_rows
+
+from labelflow.llm import gbt, quality, toxicity
+from labelflow.llm.common import table
+from labelflow.llm.words import WordHash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_counts(text):
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    hit = {j for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for j in range(i, i + 3)}
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)]
+
+
+def test_counts(rows):
+    rng = random.Random(11)
+    texts = [t or "" for _, t, *_ in rows] + ["".join(rng.choice("ab \n#|\t") for _ in range(rng.randrange(80))) for _ in range(300)]
+    for t in texts:
+        assert quality.statistics(t, WordHash())[0] == brute_counts(t), repr(t[:80])
+
+
+def test_judge(rows, clashing, no_docs, spark):
+    none = gbt.fit(np.empty((0, len(quality.FEATURES))), np.empty(0))
+    got = quality.judge(clashing, none).drop("p_good").collect()
+    want = []
+    for d, t, *_ in rows:
+        c = brute_counts(t or "")
+        bad = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        want.append((d, *c, bad, not bad))
+    assert same_rows(got, want)
+    assert quality.judge(no_docs, none).collect() == []
+    kept = quality.keep_good(clashing, none)
+    assert kept.columns == clashing.columns and set(CLASH) <= set(kept.columns)
+    assert same_rows([(r.doc_id, r.text) for r in kept.collect()], [(r[0], r[1]) for r, w in zip(rows, want) if w[-1]])
+
+
+def test_fit_without_labels(docs, spark):
+    model = quality.fit_quality(docs, spark.createDataFrame([(None, 1, None), (1, None, None)], "doc_id bigint, quality int, toxic int"))
+    assert len(model.feature) == 0
+
+
+def test_trees_learn_and_keep_directions():
+    rng = np.random.default_rng(12)
+    x = rng.uniform(size=(4000, 4))
+    y = ((x[:, 0] < 0.6) & (x[:, 1] + 0.1 * rng.normal(size=4000) > 0.3)).astype(float)
+    m = gbt.fit(x[:2000], y[:2000], {0: -1}, trees=40)
+    assert ((m.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.93
+    steps = np.repeat(x[:50], 60, axis=0)
+    steps[:, 0] = np.tile(np.linspace(0, 1, 60), 50)
+    assert (np.diff(m.margin(steps).reshape(50, 60), axis=1) <= 1e-9).all()
+    free = gbt.fit(x[:2000], np.abs(x[:2000, 0] - 0.5).round(), trees=20)
+    assert (np.diff(free.margin(steps).reshape(50, 60), axis=1) > 0).any()
+
+
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300).astype(float)
+    m = gbt.fit(x, y, trees=7, depth=3)
+    for r, got in zip(x, m.margin(x)):
+        total = m.base
+        for f, t, v in zip(m.feature, m.threshold, m.leaf):
+            i = 0
+            while i < len(f):
+                i = 2 * i + (2 if r[f[i]] > t[i] else 1)
+            total += v[i - len(f)]
+        assert abs(total - got) < 1e-9
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = SF_SMALL.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit_quality(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").select("p_good", "quality").toPandas()
+    assert ((got.p_good >= 0.5) == (got.quality == 1)).mean() > 0.97
+
+
+def test_training_bound(spark):
+    sf = SF_SMALL.replace("sf0.001", "sf0.01")
+    some = quality.labelled_sample(table(spark, sf, "documents"), table(spark, sf, "labels"), "quality", 100)
+    assert 50 < some.count() < 160
+
+
+# -- toxicity
+
+def brute_segments(s):
+    """All maximal segments: repeatedly the best segment, then left and right of it."""
+    best, at = 0.0, None
+    for i in range(len(s)):
+        run = 0.0
+        for j in range(i, len(s)):
+            run += s[j]
+            if run > best + 1e-12:
+                best, at = run, (i, j)
+    if not at:
+        return []
+    i, j = at
+    return brute_segments(s[:i]) + [(best, i, j)] + [(v, a + j + 1, b + j + 1) for v, a, b in brute_segments(s[j + 1:])]
+
+
+def test_maximal_segments():
+    rng = random.Random(14)
+    for _ in range(400):
+        s = [rng.choice([-0.7, -0.7, -0.7, rng.uniform(-3, 0), rng.uniform(0.1, 3)]) for _ in range(rng.randrange(1, 25))]
+        at = [i for i, v in enumerate(s) if v != -0.7]
+        got = toxicity.maximal_segments(at, [s[i] for i in at], -0.7)
+        assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in brute_segments(s)]
+        assert all(abs(v - w) < 1e-9 for (v, *_), (w, *_) in zip(got, brute_segments(s)))
+
+
+def test_lambda():
+    p, s = np.array([0.1, 0.9]), np.array([2.0, -1.0])
+    lam = toxicity.solve_lambda(p, s)
+    assert lam > 0 and abs((p * np.exp(lam * s)).sum() - 1) < 1e-9
+    assert toxicity.solve_lambda(np.array([0.9, 0.1]), s) == 0.0
+
+
+def test_held_out_rule(docs):
+    from pyspark.sql import functions as F
+    got = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 3 == 1) for r in got)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(900):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 200))]
+        w = ["".join(chr(97 + int(c)) for c in x[1:]) for x in w]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(rng.randrange(2, 6)):
+                w[rng.randrange(len(w))] = rng.choice(["Zorkish", "vexel", "VEXEL!", "grumtest", "grumted", "grumting"])
+        rows.append((i, " ".join(w), None, None, None))
+        labels.append((i, 1, int(toxic)))
+    return rows, {i: t for i, _, t in labels}, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_planted_toxic_words(planted, rows, clashing, no_docs):
+    _, truth, docs, labels = planted
+    model = toxicity.fit_toxicity(docs, labels)
+    got = toxicity.score_documents(docs, model).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 200 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert model.score("a grumtish text, vexel") > model.score("a plain text") == model.score("")
+    scored = toxicity.score_documents(clashing, model).collect()
+    assert sorted(repr(r.doc_id) for r in scored) == sorted(repr(r[0]) for r in rows)
+    assert toxicity.score_documents(no_docs, model).collect() == []
+    left = toxicity.keep_clean(docs, model)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in got if r.predicted == 0)
+
+
+def test_held_out_labels_are_not_used(planted, spark):
+    _, _, docs, labels = planted
+    from pyspark.sql import functions as F
+    flipped = labels.withColumn("toxic", F.when(toxicity.is_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(docs, flipped)
+    assert a.weights.units == b.weights.units and a.coef == b.coef
+
+
+def test_without_labels_nothing_is_toxic(docs, spark):
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    assert {r.score < 1e-9 for r in toxicity.score_documents(docs, model).collect()} == {True}
