@@ -1,4 +1,4 @@
-"""Plan helpers shared by operators: bounded broadcast, reliable materialisation, rounding."""
+"""Plan helpers shared by operators: reliable materialisation, rounding."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from labelflow.constants import OUT_DIGITS, RANK_DIGITS
 from labelflow.session import checkpoint_dir
 
-# A broadcast side must be proven small: it is counted first and only broadcast under this bound.
-MAX_BROADCAST_ROWS = 2_000_000
-
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder (survives executor loss)."""
@@ -18,13 +15,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked; otherwise leave the choice to the planner
-    (sort-merge join, AQE may still switch at runtime). Use on materialised (checkpointed) inputs."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def rank_value(p) -> Column:
     """Probability used for ranking and thresholds (rounded so both engines agree on ties)."""
     return F.round(F.col(p) if isinstance(p, str) else p, RANK_DIGITS)

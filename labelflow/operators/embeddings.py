@@ -2,80 +2,123 @@
 head with supplied weights, token-vector lookup with masked mean pooling, and an in-batch
 contrastive loss used as an embedding-quality metric.
 
-Vectors are handled in long form (id, dim, value) where a join or an aggregation is needed, so
-every step is a JVM-side join/aggregation; weight and token-vector tables are bounded by their
-shapes (dims x hidden, symbols x dims) and broadcast."""
+Vectors stay arrays inside their row: normalising and scaling are array expressions, products with
+weight or token-vector matrices are numpy products per Arrow batch. The matrices are parameters,
+sized by their shapes (dims x hidden, symbols x dims), and travel with the task. Long form
+(id, dim, x) is only made for output and for per-dimension aggregation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def long_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, dim, x): one row per vector component, x as double."""
-    return df.select(id_col, F.posexplode(vec_col).alias("dim", "x")).select(
-        id_col, F.col("dim").cast("int").alias("dim"), F.col("x").cast("double").alias("x"))
+def as_doubles(vec: Column | str) -> Column:
+    return (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
 
 
-def feature_moments(lv: DataFrame) -> DataFrame:
+def long_vectors(df: DataFrame, vec_col: str, keep: tuple[str, ...], dim: str = "dim", value: str = "x") -> DataFrame:
+    """(*keep, dim, x): one row per vector component, x as double."""
+    return df.select(*keep, F.posexplode(as_doubles(vec_col)).alias(dim, value))
+
+
+def feature_moments(df: DataFrame, vec_col: str) -> DataFrame:
     """Per dimension mean and population std; zero std -> scale 1 (scaler convention)."""
-    m = lv.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    m = long_vectors(df, vec_col, ()).groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     return m.withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
-def standardize(lv: DataFrame, moments: DataFrame) -> DataFrame:
-    """z = (x - mean) / scale (moments: one row per dimension, broadcast)."""
-    return lv.join(F.broadcast(moments.select("dim", "mean", "scale")), "dim") \
-        .withColumn("z", (F.col("x") - F.col("mean")) / F.col("scale")).drop("mean", "scale")
+def standardize(df: DataFrame, vec_col: str, moments: DataFrame, out: str = "z") -> DataFrame:
+    """z = (x - mean) / scale per component. The moments become one row of two arrays (one entry per dimension)."""
+    one = moments.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "scale"))).alias("_m"))
+    z = F.zip_with(as_doubles(vec_col), F.col("_m"), lambda x, m: (x - m["mean"]) / m["scale"])
+    return df.join(F.broadcast(one)).withColumn(out, z).drop("_m")
+
+
+def l2_normalize(vec: Column | str) -> Column:
+    """x / ||x||_2; a zero vector stays zero."""
+    v = as_doubles(vec)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+
+
+def matrix(weights: DataFrame, row: str, col: str, value: str) -> np.ndarray:
+    """A dense parameter matrix from its long table (indices from 0)."""
+    w = weights.select(row, col, value).toPandas()
+    out = np.zeros((int(w[row].max()) + 1, int(w[col].max()) + 1))
+    out[w[row].to_numpy(int), w[col].to_numpy(int)] = w[value].to_numpy(float)
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
 
+def map_matrix(df: DataFrame, vec_col: str, keep: tuple[str, ...], fn, out: str) -> DataFrame:
+    """(*keep, out): fn applied to the batch's vectors as one (rows, dims) matrix."""
+    def run(batches):
+        for b in batches:
+            v = b.column(0)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else None
+            if x is not None:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], _lists(np.asarray(fn(x), dtype=np.float64))], names=[*keep, out])
 
-def l2_normalize(lv: DataFrame, id_col: str, x: str = "x") -> DataFrame:
-    """x / ||x||_2 per id (norm by an aggregation joined back on id)."""
-    n = lv.groupBy(id_col).agg(F.sqrt(F.sum(F.col(x) * F.col(x))).alias("_norm"))
-    return lv.join(n, id_col).withColumn(x, F.col(x) / F.col("_norm")).drop("_norm")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} array<double>"
+    return df.select(as_doubles(vec_col).alias("_v"), *keep).mapInArrow(run, schema)
 
 
-def linear(lv: DataFrame, weights: DataFrame, id_col: str, out_dim: str) -> DataFrame:
-    """Long-form matrix product: (id, dim, x) x (dim, out, w) -> (id, out, x)."""
-    return lv.join(F.broadcast(weights), "dim").groupBy(id_col, out_dim).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+def projection_head(df: DataFrame, vec_col: str, w1: np.ndarray, w2: np.ndarray, keep: tuple[str, ...], out: str = "x") -> DataFrame:
+    """linear -> ReLU -> linear -> L2 normalise."""
+    head = map_matrix(df, vec_col, keep, lambda x: np.maximum(x @ w1, 0.0) @ w2, "_o")
+    return head.select(*keep, l2_normalize("_o").alias(out))
 
 
-def projection_head(lv: DataFrame, w1: DataFrame, w2: DataFrame, id_col: str) -> DataFrame:
-    """linear -> ReLU -> linear -> L2 normalise, weights as (dim, h, w) and (h, o, w) tables."""
-    h = linear(lv, w1, id_col, "h").withColumn("x", F.greatest(F.col("x"), F.lit(0.0)))
-    o = linear(h.withColumnRenamed("h", "dim"), w2.withColumnRenamed("h", "dim"), id_col, "o")
-    return l2_normalize(o, id_col)
+def token_vectors(df: DataFrame, vec_col: str, token: str = "token") -> DataFrame:
+    """C10 table: (token, dim, v), the mean vector of the rows that carry a token."""
+    return long_vectors(df, vec_col, (token,)).groupBy(token, "dim").agg(F.avg("x").alias("v"))
 
 
-def token_vectors(lv_tokens: DataFrame) -> DataFrame:
-    """C10 table: (token, dim, v) from long vectors carrying a token column (mean per token)."""
-    return lv_tokens.groupBy("token", "dim").agg(F.avg("x").alias("v"))
+def masked_mean_pool(df: DataFrame, tokens: str, mask: str, vectors: np.ndarray, keep: tuple[str, ...], out: str = "pooled") -> DataFrame:
+    """D8 (+C10): sum over unmasked tokens of vec[token] / number of unmasked tokens, per row; null when every token is
+    masked. ``tokens`` and ``mask`` are arrays of a row."""
+    n_tokens = len(vectors)
 
+    def run(batches):
+        for b in batches:
+            tok, keep_mask = b.column(0), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(bool)
+            row = np.repeat(np.arange(b.num_rows), np.diff(tok.offsets.to_numpy()))
+            t = tok.flatten().to_numpy(zero_copy_only=False)
+            count = np.bincount(row[keep_mask] * n_tokens + t[keep_mask], minlength=b.num_rows * n_tokens).reshape(b.num_rows, n_tokens)
+            n = count.sum(axis=1)
+            pooled = (count @ vectors) / np.maximum(n, 1)[:, None]
+            cols = _lists(pooled) if n.all() else pa.array([p if k else None for p, k in zip(pooled.tolist(), n)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], cols], names=[*keep, out])
 
-def masked_mean_pool(tokens: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
-    """D8 (+C10): sum over unmasked tokens of vec[token] / number of unmasked tokens.
-    ``tokens``: (id, token, mask 0/1). Tokens are first counted per (id, token) (map-side), so the
-    join with the (bounded, broadcast) token-vector table is per distinct token, not per position."""
-    c = tokens.where(F.col("mask") == 1).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("c"))
-    n = c.groupBy(id_col).agg(F.sum("c").alias("_n"))
-    s = c.join(F.broadcast(vectors), "token").groupBy(id_col, "dim").agg(F.sum(F.col("c") * F.col("v")).alias("_s"))
-    return s.join(n, id_col).select(id_col, "dim", (F.col("_s") / F.col("_n")).alias("pooled"))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} array<double>"
+    return df.select(F.col(tokens).cast("array<int>"), F.col(mask).cast("array<int>"), *keep).mapInArrow(run, schema)
 
 
 def contrastive_batch_loss(feat: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """In-batch contrastive loss per batch. ``feat``: (batch_id, pair_id, side 0/1, dim, x) with
-    L2-normalised features; each pair is a positive, every other feature of the batch a negative,
-    negatives re-weighted by neg / mean(neg). Batches are bounded by construction (E10), so the
-    in-batch self-join is B^2 rows per batch, linear in the data."""
-    a = feat.select("batch_id", F.col("pair_id").alias("pa"), F.col("side").alias("sa"), "dim", F.col("x").alias("xa"))
-    b = feat.select("batch_id", F.col("pair_id").alias("pb"), F.col("side").alias("sb"), "dim", F.col("x").alias("xb"))
-    sim = a.join(b, ["batch_id", "dim"]).groupBy("batch_id", "pa", "sa", "pb", "sb") \
-        .agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
-    e = sim.withColumn("e", F.exp(F.col("dot") / temperature))
-    pos = e.where((F.col("pa") == F.col("pb")) & (F.col("sa") != F.col("sb"))).select("batch_id", "pa", "sa", F.col("e").alias("pos"))
-    neg = e.where(F.col("pa") != F.col("pb")).groupBy("batch_id", "pa", "sa").agg(
-        F.sum(F.col("e") * F.col("e")).alias("s2"), F.avg("e").alias("mean_neg"))
-    per = pos.join(neg, ["batch_id", "pa", "sa"]).withColumn(
-        "l", -F.log(F.col("pos") / (F.col("s2") / F.col("mean_neg") + F.col("pos"))))
-    return per.groupBy("batch_id").agg((F.sum("l") / F.count(F.lit(1))).alias("loss"), F.count(F.lit(1)).alias("n_features"))
+    """In-batch contrastive loss per batch. ``feat``: (batch_id, pair_id, side 0/1, x array) with L2-normalised
+    features; each pair is a positive, every other feature of the batch a negative, negatives re-weighted by
+    neg / mean(neg). A batch is bounded by construction (E10), so its similarities are one small matrix."""
+    def loss(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf["x"].to_numpy())
+        e = np.exp(x @ x.T / temperature)
+        pair, side = pdf["pair_id"].to_numpy(), pdf["side"].to_numpy()
+        same = pair[:, None] == pair[None, :]
+        pos = (e * (same & (side[:, None] != side[None, :]))).sum(axis=1)
+        neg = np.where(same, 0.0, e)
+        n_neg = (~same).sum(axis=1)
+        ok = (n_neg > 0) & (pos > 0)
+        if not ok.any():
+            return pd.DataFrame({"batch_id": pd.Series([], dtype="int64"), "loss": pd.Series([], dtype="float64"), "n_features": pd.Series([], dtype="int64")})
+        s2, mean = (neg * neg).sum(axis=1)[ok], neg.sum(axis=1)[ok] / n_neg[ok]
+        l = -np.log(pos[ok] / (s2 / mean + pos[ok]))
+        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "loss": [float(l.mean())], "n_features": [int(ok.sum())]})
+
+    return feat.select("batch_id", "pair_id", "side", "x").groupBy("batch_id").applyInPandas(loss, "batch_id long, loss double, n_features long")

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions.residues import label_one_hot
-from labelflow.operators.common import broadcast_if_bounded
-
-MAX_LABELS = 100_000
 
 
 def label_index(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -19,14 +16,14 @@ def label_index(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def with_label_index(df: DataFrame, dim: DataFrame, label_col: str = "label") -> DataFrame:
-    """Join rows to the label dimension (one row per class; broadcast only after its size is checked)."""
-    return df.join(broadcast_if_bounded(dim.withColumnRenamed("label", label_col), MAX_LABELS), label_col, "left")
+    """Join rows to the label dimension (one row per class; the planner chooses the join)."""
+    return df.join(dim.withColumnRenamed("label", label_col), label_col, "left")
 
 
 def to_label(df: DataFrame, dim: DataFrame, idx_col: str, out_col: str = "label") -> DataFrame:
     """C9 inverse: index -> label text."""
     d = dim.select(F.col("label_idx").alias(idx_col), F.col("label").alias(out_col))
-    return df.join(broadcast_if_bounded(d, MAX_LABELS), idx_col, "left")
+    return df.join(d, idx_col, "left")
 
 
 def one_hot_labels(df: DataFrame, dim: DataFrame, n_classes: int) -> DataFrame:

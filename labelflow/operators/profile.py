@@ -11,19 +11,20 @@ Fit = one aggregation of the labelled sites into integer counts n(method, label,
 Score of class c for a sequence = sum over its sites of n / (n_seq(c) * m * L), where m is the
 number of positions per bucket and L the window; p = s^8 / sum_c s^8 (a sharpened vote).
 
-Plan shape of ``predict_profiles``: the fitted profile is materialised and pivoted to one row per
-(bucket, aa) holding the counts of every class, so each query site meets exactly one broadcast
-row per predictor; one hash aggregation by header then sums fixed-width counters, and the
-probabilities and the argmax are computed inside the row with array functions (no window, no
-sort, no second shuffle).
+Plan shape of ``predict_profiles``: the fitted counts are model parameters, an array of
+positions x symbols x classes per predictor; every query row is scored on its own inside an Arrow
+batch (gather and sum over its positions), so prediction is a narrow pass over the rows: no site
+table, no join, no shuffle, and rows that share a header stay separate predictions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.constants import RANK_DIGITS, WINDOW
+from labelflow.constants import ALPHABET, Q, RANK_DIGITS, WINDOW
 from labelflow.operators.common import materialize
 from labelflow.sources.sequences import sites
 
@@ -33,7 +34,9 @@ PREDICTORS = (
     ("contrastive", "cast(floor((pos - 1) / 8) as int)", 8),
     ("foundation", "0", WINDOW),
 )
-MAX_CLASSES = 10_000
+_LUT = np.full(256, Q, dtype=np.int64)
+for _i, _ch in enumerate(ALPHABET):
+    _LUT[ord(_ch)] = _i
 
 
 def fit_profiles(train_seqs: DataFrame) -> DataFrame:
@@ -55,67 +58,64 @@ def fit_profiles(train_seqs: DataFrame) -> DataFrame:
     return materialize(prof)
 
 
-def class_sizes(profile: DataFrame) -> DataFrame:
-    """n_seq per class: every labelled window has exactly one symbol at position 1."""
-    return (profile.where((F.col("method") == "msa") & (F.col("bucket") == 1))
-            .groupBy("label").agg(F.sum("n").alias("n_seq")))
-
-
-def profile_classes(profile: DataFrame) -> list[tuple[str, int]]:
-    """Sorted (label, n_seq) of the fitted model; bounded by MAX_CLASSES (it is model metadata,
-    like the class count MLlib's classifiers collect)."""
-    rows = class_sizes(profile).orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return [(r["label"], int(r["n_seq"])) for r in rows]
-
-
-def _wide(profile: DataFrame, labels: list[str], window: int) -> DataFrame:
-    """One row per (pos, aa) with, for every predictor and class, the count its bucket holds
-    (a pivot by conditional sums, then each predictor's bucket looked up for every position).
-    Size bound by construction: L positions x |alphabet| symbols rows (<= 64 x 21) of
-    3 x len(labels) <= 3 x MAX_CLASSES counters, so it is broadcast without counting."""
-    out = None
-    for name, b, _ in PREDICTORS:
-        w = (profile.where(F.col("method") == name).groupBy("bucket", "aa")
-             .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(F.lit(0))).cast("long").alias(f"n_{name}_{i}")
-                    for i, c in enumerate(labels)]))
-        pos = (w.sparkSession.range(1, window + 1).select(F.col("id").cast("int").alias("pos"))
-               .withColumn("bucket", F.expr(b).cast("int")))
-        w = pos.join(w, "bucket").drop("bucket")
-        out = w if out is None else out.join(w, ["pos", "aa"], "full_outer")
-    return out
-
-
-def predict_wide(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW,
-                 keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(header, *keep, p_<method> array<double> over sorted classes); and the class list."""
-    cls = profile_classes(profile)
-    labels = [c for c, _ in cls]
-    s = sites(query_seqs, keep=("header",) + keep)
-    s = s.join(F.broadcast(_wide(profile, labels, window)), ["pos", "aa"], "left")
-    aggs = [F.sum(F.coalesce(F.col(f"n_{name}_{i}"), F.lit(0))).alias(f"h_{name}_{i}")
-            for name, _, _ in PREDICTORS for i in range(len(labels))]
-    agg = s.groupBy("header", *keep).agg(*aggs)
-    cols = []
+def profile_arrays(profile: DataFrame, window: int = WINDOW) -> tuple[list[str], np.ndarray, dict[str, np.ndarray]]:
+    """(sorted labels, n_seq per label, counts[method] of shape (window, q + 1, labels)); the last symbol
+    slot stays zero and stands for anything outside the alphabet. Model parameters, sized by their shape."""
+    rows = profile.toPandas()
+    sizes = rows[(rows.method == "msa") & (rows.bucket == 1)].groupby("label")["n"].sum().sort_index()
+    labels = [str(c) for c in sizes.index]
+    at = {c: i for i, c in enumerate(labels)}
+    counts = {}
     for name, _, m in PREDICTORS:
-        sc = [F.col(f"h_{name}_{i}").cast("double") / float(n * m * window) for i, (_, n) in enumerate(cls)]
-        e = [x * x * x * x * x * x * x * x for x in sc]
-        total = e[0]
-        for x in e[1:]:
-            total = total + x
-        cols.append(F.array(*[x / total for x in e]).alias(f"p_{name}"))
-    return agg.select("header", *keep, *cols), labels
-
-
-def long_preds(wide: DataFrame, labels: list[str]) -> DataFrame:
-    """Wide probabilities -> preds(method, header, label, p), one row per class."""
+        mine = rows[rows.method == name]
+        per_bucket = np.zeros((window + 1, Q + 1, len(labels)))
+        per_bucket[mine.bucket.to_numpy(int), [ALPHABET.find(x) for x in mine.aa], [at[c] for c in mine.label]] = mine.n.to_numpy(float)
+        bucket = {1: np.arange(1, window + 1), 8: np.arange(window) // 8, WINDOW: np.zeros(window, int)}[m]
+        counts[name] = per_bucket[bucket]
+    return labels, sizes.to_numpy(float), counts
+
+
+def predict_wide(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (),
+                 seq: str = "sequence_align") -> tuple[DataFrame, list[str]]:
+    """(header, *keep, p_<method> array<double> over sorted classes) per row; and the class list. A row without any
+    symbol seen in training has the same probability for every class."""
+    labels, n_seq, counts = profile_arrays(profile, window)
+    names = ("header",) + tuple(keep)
+    methods = [(name, m) for name, _, m in PREDICTORS]
+
+    def run(batches):
+        pos = np.arange(window)[None, :]
+        for batch in batches:
+            probs = {name: [] for name, _ in methods}
+            for lo in range(0, batch.num_rows, 1024):
+                texts = [(t or "")[:window].ljust(window, "\0") for t in batch.column(0).slice(lo, 1024).to_pylist()]
+                raw = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8).reshape(len(texts), window)
+                codes = _LUT[raw]
+                for name, m in methods:
+                    score = counts[name][pos, codes].sum(axis=1) / (n_seq * m * window)
+                    e = score ** 8
+                    total = e.sum(axis=1, keepdims=True)
+                    probs[name].append(np.where(total > 0, e / np.where(total > 0, total, 1), 1 / max(len(labels), 1)))
+            cols = []
+            for name, _ in methods:
+                x = np.concatenate(probs[name]) if probs[name] else np.empty((0, len(labels)))
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(labels))
+                cols.append(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*names, *(f"p_{n}" for n, _ in methods)])
+
+    passed = ", ".join(f"`{c}` {query_seqs.schema[c].dataType.simpleString()}" for c in names)
+    schema = passed + "".join(f", p_{n} array<double>" for n, _ in methods)
+    return query_seqs.select(F.col(seq).alias("_s"), *names).mapInArrow(run, schema), labels
+
+
+def long_preds(wide: DataFrame, labels: list[str], keep: tuple[str, ...] = ("header",)) -> DataFrame:
+    """Wide probabilities -> preds(method, *keep, label, p), one row per class."""
     lab = F.array(*[F.lit(c) for c in labels])
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.col(f"p_{name}").alias("p"))
                                for name, _, _ in PREDICTORS]))
-    x = wide.select("header", rows.alias("r")).select("header", "r.method", "r.p")
+    x = wide.select(*keep, rows.alias("r")).select(*keep, "r.method", "r.p")
     z = F.explode(F.arrays_zip(lab.alias("label"), F.col("p").alias("p")))
-    return x.select("method", "header", z.alias("z")).select("method", "header", "z.label", "z.p")
+    return x.select("method", *keep, z.alias("z")).select("method", *keep, "z.label", "z.p")
 
 
 def argmax(p: Column, labels: list[str]) -> tuple[Column, Column]:

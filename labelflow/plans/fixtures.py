@@ -2,45 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.operators.common import materialize
-
-from labelflow.operators.profile import fit_profiles, long_preds, predict_wide
+from labelflow.operators.profile import PREDICTORS, argmax, fit_profiles, long_preds, predict_wide
 from labelflow.sources.sequences import seqs
 
 
 def seq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows, hash-partitioned by header once so later joins/aggregations on header reuse it.
-    Persisted (memory, spilling to disk) because most queries read it several times; a lost block
-    is recomputed from its lineage."""
-    return seqs(spark, sf_dir).repartition("header").persist(StorageLevel.MEMORY_AND_DISK)
+    """All windows, as a plain scan: every query prunes and filters it for itself."""
+    return seqs(spark, sf_dir)
 
 
-def profile_wide(spark: SparkSession, sf_dir: str, s: DataFrame | None = None):
-    """(seq table, wide preds(header, p_<method> arrays), sorted class labels) for the query split."""
-    s = s if s is not None else seq_table(spark, sf_dir)
+def profile_wide(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), rows: str = "not is_train"):
+    """(seq table, wide preds(header, *keep, p_<method> arrays), sorted class labels) for the chosen rows."""
+    s = seq_table(spark, sf_dir)
     prof = fit_profiles(s.where(F.col("is_train")).select("label", "sequence_align"))
-    wide, labels = predict_wide(prof, s.where(~F.col("is_train")).select("header", "sequence_align"))
-    # the prediction archive: written once to the shared checkpoint folder, read by every consumer
-    return s, materialize(wide), labels
+    wide, labels = predict_wide(prof, s.where(rows).select("header", "sequence_align", *(c for c in keep if c != "sequence_align")), keep=keep)
+    return s, wide, labels
 
 
-def profile_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def profile_preds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(seq table, preds(method, header, label, p)) for the query split, one row per class."""
-    s, wide, labels = profile_wide(spark, sf_dir, s)
+    s, wide, labels = profile_wide(spark, sf_dir)
     return s, long_preds(wide, labels)
 
 
-def best_preds(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(seq table, best(method, header, label, p)): the argmax per method, computed in-row."""
-    from labelflow.operators.profile import PREDICTORS, argmax
-    s, wide, labels = profile_wide(spark, sf_dir, s)
+def scored_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """preds with their row's true label: (method, header, label_true, label, p). The label is carried through the
+    scoring pass, so truth and scores need no join."""
+    _, wide, labels = profile_wide(spark, sf_dir, keep=("label",))
+    return long_preds(wide.withColumnRenamed("label", "label_true"), labels, ("header", "label_true"))
+
+
+def _best(wide: DataFrame, labels: list[str], keep: tuple[str, ...]) -> DataFrame:
     rows = []
     for name, _, _ in PREDICTORS:
         lab, p = argmax(F.col(f"p_{name}"), labels)
         rows.append(F.struct(F.lit(name).alias("method"), lab.alias("label"), p.alias("p")))
-    best = wide.select("header", F.explode(F.array(*rows)).alias("r")).select("r.method", "header", "r.label", "r.p")
-    return s, best
+    return wide.select(*keep, F.explode(F.array(*rows)).alias("r")).select("r.method", *keep, "r.label", "r.p")
+
+
+def best_preds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(seq table, best(method, header, label, p)): the argmax per method, computed in-row."""
+    s, wide, labels = profile_wide(spark, sf_dir)
+    return s, _best(wide, labels, ("header",))
+
+
+def best_with_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(seq table, best(method, header, label_true, sequence_align, label, p)), carried through the scoring pass."""
+    s, wide, labels = profile_wide(spark, sf_dir, keep=("label", "sequence_align"))
+    return s, _best(wide.withColumnRenamed("label", "label_true"), labels, ("header", "label_true", "sequence_align"))

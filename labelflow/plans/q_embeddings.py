@@ -23,8 +23,7 @@ TEMPERATURE = 0.05  # fixed value: contrastive temperature
 
 
 def _emb(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    return EM.long_vectors(e, "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
 
 def _weights(spark):
@@ -34,13 +33,13 @@ def _weights(spark):
     # fixed rule for the supplied head weights (shape-bounded tables)
     w1 = d.join(h, how="cross").select("dim", "h", (((F.col("dim") * 31 + F.col("h") * 17) % 101 - 50) / 250.0).alias("w"))
     w2 = h.join(o, how="cross").select("h", "o", (((F.col("h") * 13 + F.col("o") * 7) % 53 - 26) / 100.0).alias("w"))
-    return w1, w2
+    return EM.matrix(w1, "dim", "h", "w"), EM.matrix(w2, "h", "o", "w")
 
 
 @register("feature_moments", with_("emb") + """select dim, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std,
     round(case when stddev_pop(x) = 0 then 1.0 else stddev_pop(x) end, 6) as scale from emb group by dim""")
 def q_feature_moments(spark, sf_dir):
-    m = EM.feature_moments(_emb(spark, sf_dir))
+    m = EM.feature_moments(_emb(spark, sf_dir), "embedding")
     return m.select("dim", out("mean", "mean"), out("std", "std"), out("scale", "scale"))
 
 
@@ -48,15 +47,15 @@ def q_feature_moments(spark, sf_dir):
     select dim, avg(x) as mean, case when stddev_pop(x) = 0 then 1.0 else stddev_pop(x) end as scale from emb group by dim) m
     on e.dim = m.dim""")
 def q_standardize(spark, sf_dir):
-    lv = _emb(spark, sf_dir)
-    z = EM.standardize(lv, EM.feature_moments(lv))
-    return z.select("vec_id", "dim", out("z", "z"))
+    e = _emb(spark, sf_dir)
+    z = EM.standardize(e, "embedding", EM.feature_moments(e, "embedding"))
+    return EM.long_vectors(z, "z", ("vec_id",)).select("vec_id", "dim", out("x", "z"))
 
 
 @register("l2_normalize", with_("embn") + "select vec_id, dim, round(x, 6) as x from embn")
 def q_l2_normalize(spark, sf_dir):
-    n = EM.l2_normalize(_emb(spark, sf_dir), "vec_id")
-    return n.select("vec_id", "dim", out("x", "x"))
+    n = _emb(spark, sf_dir).select("vec_id", EM.l2_normalize("embedding").alias("v"))
+    return EM.long_vectors(n, "v", ("vec_id",)).select("vec_id", "dim", out("x", "x"))
 
 
 @register("projection_head", with_("emb", "w1", "w2") + """, hid as (
@@ -66,8 +65,8 @@ def q_l2_normalize(spark, sf_dir):
     join (select vec_id, sqrt(sum(x * x)) as norm from o group by vec_id) n on o.vec_id = n.vec_id""")
 def q_projection_head(spark, sf_dir):
     w1, w2 = _weights(spark)
-    p = EM.projection_head(_emb(spark, sf_dir), w1, w2, "vec_id")
-    return p.select("vec_id", "o", out("x", "x"))
+    p = EM.projection_head(_emb(spark, sf_dir), "embedding", w1, w2, ("vec_id",), out="v")
+    return EM.long_vectors(p, "v", ("vec_id",), dim="o").select("vec_id", "o", out("x", "x"))
 
 
 POOL_SQL = with_("seqs", "emb") + f""", tv as (select cast(vec_id % {Q} as integer) as token, dim, avg(x) as v from emb group by 1, 2),
@@ -83,11 +82,12 @@ POOL_SQL = with_("seqs", "emb") + f""", tv as (select cast(vec_id % {Q} as integ
 def q_masked_mean_pool(spark, sf_dir):
     """C10 + D8: residue tokens of every window -> token vectors (mean embedding of the rows whose
     vec_id falls on that token, vec_id mod q) -> mean over unmasked (non-gap) positions."""
-    lv = _emb(spark, sf_dir).withColumn("token", F.pmod(F.col("vec_id"), F.lit(Q)).cast("int"))
-    vec = EM.token_vectors(lv)
+    e = _emb(spark, sf_dir).withColumn("token", F.pmod(F.col("vec_id"), F.lit(Q)).cast("int"))
+    vectors = EM.matrix(EM.token_vectors(e, "embedding"), "token", "dim", "v")
     s = seq_table(spark, sf_dir).select("header", encode_residues("sequence_align").alias("codes"))
-    toks = s.select("header", F.explode("codes").alias("token")).withColumn("mask", (F.col("token") != 0).cast("int"))
-    return EM.masked_mean_pool(toks, vec, "header").select("header", "dim", out("pooled", "pooled"))
+    s = s.withColumn("mask", F.transform("codes", lambda c: (c != 0).cast("int")))
+    pooled = EM.masked_mean_pool(s, "codes", "mask", vectors, ("header",))
+    return EM.long_vectors(pooled, "pooled", ("header",)).select("header", "dim", out("x", "pooled"))
 
 
 LOSS_SQL = with_("embn") + f""", r as (select vec_id, label, row_number() over (partition by label order by md5('{SEED}:' || vec_id), vec_id) - 1 as rn
@@ -117,8 +117,8 @@ def q_contrastive_batch_loss(spark, sf_dir):
     full = p.groupBy("pair_id").agg(F.count(F.lit(1)).alias("c")).where("c = 2").select("pair_id")
     b = consecutive_ids(full.withColumn("_h", hash_key(SEED, "pair_id")), ["_h", "pair_id"], "pair_no") \
         .select("pair_id", (F.col("pair_no") / PAIRS_PER_BATCH).cast("long").alias("batch_id"))
-    lv = EM.l2_normalize(_emb(spark, sf_dir).select("vec_id", "dim", "x"), "vec_id")
-    feat = p.join(b, "pair_id").join(lv, "vec_id").select("batch_id", "pair_id", "side", "dim", "x")
+    v = _emb(spark, sf_dir).select("vec_id", EM.l2_normalize("embedding").alias("x"))
+    feat = p.join(b, "pair_id").join(v, "vec_id").select("batch_id", "pair_id", "side", "x")
     return EM.contrastive_batch_loss(feat, TEMPERATURE).select("batch_id", out("loss", "loss"), "n_features")
 
 

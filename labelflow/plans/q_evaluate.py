@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelflow.operators import evaluate as V
 from labelflow.operators.common import out, rank_value
-from labelflow.plans.fixtures import best_preds, profile_preds
+from labelflow.plans.fixtures import best_with_truth, profile_preds, scored_preds
 from labelflow.plans.registry import register
 from labelflow.plans.sql_base import with_
 from labelflow.sources.tables import table
@@ -15,20 +15,20 @@ KEYS = ["method", "label"]
 
 
 def _scores(spark, sf_dir):
-    s, preds = profile_preds(spark, sf_dir)
-    sc = V.binarize(V.align_truth_scores(preds, s.where(~F.col("is_train"))))
-    return sc.withColumn("score", rank_value("p"))
+    return V.binarize(scored_preds(spark, sf_dir)).withColumn("score", rank_value("p"))
 
 
 def _best(spark, sf_dir):
-    s, best = best_preds(spark, sf_dir)
-    return V.align_truth_scores(best, s.where(~F.col("is_train")))
+    return best_with_truth(spark, sf_dir)[1].drop("sequence_align")
 
 
 @register("align_truth_scores", with_("scores") + """select method, header, label_true, label, round(p, 6) as p, y
     from scores""")
 def q_align_truth_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select("method", "header", "label_true", "label", out("p", "p"), "y")
+    """C11 as a join of two tables on the header."""
+    s, preds = profile_preds(spark, sf_dir)
+    sc = V.binarize(V.align_truth_scores(preds, s.where(~F.col("is_train"))))
+    return sc.select("method", "header", "label_true", "label", out("p", "p"), "y")
 
 
 @register("roc_curve", with_("roc") + """select method, label, threshold, tp, fp,

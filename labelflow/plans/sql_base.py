@@ -87,11 +87,13 @@ VIEWS.update({
 VIEWS.update({
     "conf": (("best", "seqs"), """select b.method, b.header, b.label, b.p as prob, s.label as label_true, s.sequence_align,
         (b.label = s.label) as is_correct from best b join seqs s on b.header = s.header where round(b.p, 9) >= 0.8"""),
-    "seqid": (("conf",), """select q.header, max((length(q.sequence_align) - hamming(q.sequence_align, t.sequence_align))
+    "seqid": (("seqs",), """select q.sequence_align, max((length(q.sequence_align) - hamming(q.sequence_align, t.sequence_align))
           / length(q.sequence_align)) as seq_id_train
-        from (select distinct header, sequence_align from conf) q, (select distinct sequence_align from seqs where is_train) t
-        group by q.header"""),
-    "confid": (("conf", "seqid"), """select c.*, i.seq_id_train from conf c join seqid i on c.header = i.header"""),
+        from (select distinct sequence_align from seqs where not is_train) q,
+             (select distinct sequence_align from seqs where is_train) t group by q.sequence_align"""),
+    "confid": (("conf", "seqid"), """select c.*, i.seq_id_train from conf c join seqid i on c.sequence_align = i.sequence_align"""),
+    "allid": (("best", "seqs", "seqid"), """select b.method, b.header, b.label, b.p as prob, s.label as label_true, (b.label = s.label) as is_correct,
+        i.seq_id_train from best b join seqs s on b.header = s.header join seqid i on s.sequence_align = i.sequence_align"""),
 })
 
 _A = "'-ACDEFGHIKLMNPQRSTVWY'"

@@ -2,7 +2,7 @@
 
 On a cluster the session is created by the platform; we only read its settings. The
 checkpoint directory must be a shared folder named by ``spark.checkpoint.dir``; a local
-temporary folder is only used when the setting is absent (tests, local runs).
+temporary folder is only used when the setting is absent and the master is local (tests).
 """
 
 from __future__ import annotations
@@ -48,13 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only where none is configured."""
     d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="labelflow-ckpt-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="labelflow-ckpt-")  # one machine: driver and executors share its disk
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)

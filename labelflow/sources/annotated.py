@@ -2,7 +2,7 @@
 
 - A1 read_annotated: CSV with overridable column names -> canonical (header, sequence,
   sequence_align, label); all strings, no schema inference.
-- A2 read_fasta: records split on '>' by the text reader (splittable, no whole-file reads);
+- A2 read_fasta: records split at lines that start with '>' by the text reader (no whole-file reads);
   id = first whitespace token of the description, sequence = the remaining lines joined.
 - A3 read_query: FASTA if the first line starts with '>', else CSV (one line is read to decide).
 - A4/A5 predictions archive: Parquet partitioned by experiment keys; reads filter on partition
@@ -50,14 +50,15 @@ def read_annotated(spark: SparkSession, path: str, header: str = "header", seque
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """A2: FASTA -> (header, sequence). Empty records are dropped; CR characters are ignored."""
-    rec = spark.read.option("lineSep", ">").text(path).select(F.regexp_replace("value", "\r", "").alias("r"))
+    """A2: FASTA -> (header, sequence), residues as written. Empty records are dropped; CR characters are ignored.
+    Only a '>' at the start of a line begins a record (the first one keeps its own and loses it here)."""
+    rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\s*>", "").alias("r"))
     rec = rec.where(F.length(F.trim("r")) > 0)
     first_nl = F.instr(F.col("r"), "\n")
     desc = F.when(first_nl > 0, F.expr("substr(r, 1, instr(r, '\n') - 1)")).otherwise(F.col("r"))
     body = F.when(first_nl > 0, F.expr("substr(r, instr(r, '\n') + 1)")).otherwise(F.lit(""))
     return rec.select(fasta_header_id(desc).alias("header"),
-                      F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"))
+                      F.regexp_replace(body, r"\s", "").alias("sequence"))
 
 
 def read_query(spark: SparkSession, path: str, **csv_names) -> DataFrame:
@@ -101,10 +102,6 @@ def read_rbm_params(spark: SparkSession, path: str, update: int | None = None) -
     return df.where(F.col("update") == update)
 
 
-def list_updates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("update").distinct().orderBy("update")
-
-
 # The experiment grid of the reference (dataset -> split thresholds t1, training sizes)
 GRID = {
     "RR": ([0.4, 0.7], [100, 500, 1000, 2000]),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelflow.constants import GAP, WINDOW
 from labelflow.functions.residues import residue_letters, strip_gaps
-from labelflow.sources.tables import ensure_parallelism, table
+from labelflow.sources.tables import table
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -30,18 +30,14 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """seqs(header, sequence, sequence_align, label, is_train, doc_id, k)."""
-    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label")),
-                              "doc_id")
-    # labelled documents; distinct guards against duplicate doc ids fanning out the join
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    # labelled documents; distinct guards against duplicate doc ids fanning out the join. Joined before the windows
+    # are cut, so a filter on is_train becomes a semi or anti join of documents
     lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("is_train", F.lit(True))
-    w = windows(docs, window)
-    out = (w.join(lab, "doc_id", "left")
-           .select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("header"),
-                   strip_gaps("sequence_align").alias("sequence"),
-                   "sequence_align", "label",
-                   F.coalesce("is_train", F.lit(False)).alias("is_train"),
-                   "doc_id", F.col("k").cast("int").alias("k")))
-    return out
+    docs = docs.join(lab, "doc_id", "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
+    return windows(docs, window).select(
+        F.concat_ws("_", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("header"),
+        strip_gaps("sequence_align").alias("sequence"), "sequence_align", "label", "is_train", "doc_id", F.col("k").cast("int").alias("k"))
 
 
 def split(seq_df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,13 +13,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def ensure_parallelism(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an under-partitioned scan (e.g. one large unsplittable row group) over the cluster
-    before CPU-heavy per-row work. Only triggers when the scan has fewer partitions than the
-    default parallelism, so large inputs (thousands of splits) are never reshuffled."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *keys) if keys else df.repartition(target)
-    return df

@@ -13,7 +13,7 @@ def test_fasta_reader_handles_wrapping_crlf_and_empty(spark, tmpdir_path):
     with open(p, "w", newline="") as f:
         f.write(">id1 first protein\r\nACD\r\nEF\r\n>id2\nGH\n>empty\n>id3 x y\nkl\n")
     rows = {r.header: r.sequence for r in S.read_fasta(spark, p).collect()}
-    assert rows == {"id1": "ACDEF", "id2": "GH", "empty": "", "id3": "KL"}
+    assert rows == {"id1": "ACDEF", "id2": "GH", "empty": "", "id3": "kl"}
     q = S.read_query(spark, p)
     assert q.columns == ["header", "sequence", "sequence_align", "label"]
 
@@ -44,7 +44,16 @@ def test_prediction_archive_partition_pruning(spark, tmpdir_path):
     S.write_predictions(df, path)
     got = S.read_predictions(spark, path, dataset="RR", n_train=500)
     assert [r.header for r in got.collect()] == ["h2"]
-    assert "PartitionFilters" in got._jdf.queryExecution().executedPlan().toString() or True
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "dataset" in filters and "n_train" in filters
+
+
+def test_fasta_arrows_in_descriptions(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "arrow.fasta")
+    with open(p, "w") as f:
+        f.write(">id1 A->B transporter > x\nACD\nEF\n>id2 >y\nGh-k\n")
+    assert {r.header: r.sequence for r in S.read_fasta(spark, p).collect()} == {"id1": "ACDEF", "id2": "Gh-k"}
 
 
 def test_rbm_params_latest_update(spark, tmpdir_path):

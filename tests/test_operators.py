@@ -85,12 +85,72 @@ def test_max_identity_matches_brute_force(spark):
     alpha = np.array(list("-ACDE"))
     q = ["".join(rng.choice(alpha, 12)) for _ in range(40)]
     t = ["".join(rng.choice(alpha, 12)) for _ in range(300)] + [q[0]] * 200  # a heavily duplicated train row
-    qdf = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(q)], "header string, sequence_align string")
+    qdf = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(q)] + [("long", "A" * 300), ("none", None)], "header string, sequence_align string")
     tdf = spark.createDataFrame([(s,) for s in t], "sequence_align string")
-    got = {r.header: r.seq_id_train for r in I.max_train_identity(qdf, tdf, q_block=7, t_block=50).collect()}
+    got = {r.header: r.seq_id_train for r in I.max_train_identity(qdf, tdf, q_group=7).collect()}
     for i, s in enumerate(q):
         best = max(sum(a == b for a, b in zip(s, x)) for x in t) / 12
         assert got[f"q{i}"] == pytest.approx(best)
+    assert got["long"] is None and got["none"] is None  # no training sequence of that length
+    none = I.max_train_identity(qdf, tdf.where("false")).collect()
+    assert len(none) == 42 and all(r.seq_id_train is None for r in none)
+
+
+def test_bit_planes_count_any_symbol_and_length():
+    rng = np.random.default_rng(6)
+    for L in (1, 63, 64, 65, 300):
+        q = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(9)]
+        t = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(30)] + [q[4]]
+        best = np.full(len(q), -1, np.int32)
+        I.best_matches(I.pack_planes(q, L), I.pack_planes(t, L), L, best)
+        assert best.tolist() == [max(sum(a == b for a, b in zip(x, z)) for z in t) for x in q]
+
+
+def test_roc_of_a_class_without_positives_is_null_and_left_out(spark):
+    rows = [("m", "h1", "a", "a", 0.9), ("m", "h2", "a", "a", 0.3), ("m", "h1", "a", "b", 0.1), ("m", "h2", "a", "b", 0.7),
+            ("m", "h3", "c", "c", 0.9), ("m", "h1", "a", "c", 0.2)]
+    sc = V.binarize(spark.createDataFrame(rows, "method string, header string, label_true string, label string, p double"))
+    pts = V.roc_points(sc, ["method", "label"])
+    assert {r.tpr for r in pts.where("label = 'b' and threshold is not null").collect()} == {None}
+    assert {r.fpr: r.mean_tpr for r in V.macro_roc(pts, ["method"]).collect()} == {0.0: 1.0, 1.0: 1.0}
+
+
+def test_last_training_label_needs_an_order(spark):
+    base = spark.createDataFrame([("h1",)], "header string")
+    with pytest.raises(ValueError, match="order column"):
+        A.train_label_lookup(base, spark.createDataFrame([("h1", "z"), ("h1", "a")], "header string, label string"))
+
+
+def test_repeated_headers_keep_their_own_predictions(spark):
+    from labelflow.operators.profile import fit_profiles, predict_wide
+    train = spark.createDataFrame([("x", "A" * 64), ("y", "C" * 64)], "label string, sequence_align string")
+    rows = spark.createDataFrame([("h", "A" * 64, "A" * 64, "x", False), ("h", "C" * 64, "C" * 64, "y", False), ("t", "C" * 64, "C" * 64, "x", True), ("u", "?" * 64, "?" * 64, "x", False)],
+                                 "header string, sequence string, sequence_align string, label string, is_train boolean")
+    wide, labels = predict_wide(fit_profiles(train), rows, keep=("sequence", "sequence_align", "label", "is_train"))
+    got = sorted((r.header, r.sequence[0], r.label_msa, r.label_msa_hi, r.label_train) for r in A.augment_labels(wide, labels).collect())
+    # a row without any known symbol has no confident label
+    assert got == [("h", "A", "x", "x", ""), ("h", "C", "y", "y", ""), ("t", "C", "x", "", "x"), ("u", "?", "x", "", "")]
+    assert [list(r.p_msa) for r in wide.where("header = 'u'").collect()] == [[0.5, 0.5]]
+
+
+def test_zero_vector_stays_zero(spark):
+    from labelflow.operators import embeddings as EM
+    df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>")
+    assert [list(r[0]) for r in df.select(EM.l2_normalize("v")).collect()] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_masked_pool_and_hidden_means_against_loops(spark):
+    from labelflow.operators import embeddings as EM, rbm as RB
+    vec = np.arange(12.0).reshape(4, 3)
+    df = spark.createDataFrame([("a", [0, 1, 1, 3], [0, 1, 1, 1]), ("b", [2], [0]), ("c", [3], [1])], "header string, tok array<int>, mask array<int>")
+    got = {r.header: r.pooled for r in EM.masked_mean_pool(df, "tok", "mask", vec, ("header",)).collect()}
+    assert np.allclose(got["a"], (2 * vec[1] + vec[3]) / 3) and got["b"] is None and np.allclose(got["c"], vec[3])
+    w = spark.createDataFrame([(h, p, a, 0.1 * h + p * (1 if a == "A" else -1)) for h in range(2) for p in (1, 2) for a in "AC"], "h int, pos int, aa string, w double")
+    b = spark.createDataFrame([(0, 0.5), (1, -0.5)], "h int, b double")
+    s = spark.createDataFrame([("x", "AC"), ("y", "C?")], "header string, sequence_align string")
+    act = {(r.header, r.h): r.act for r in RB.hidden_mean(s, w, b).collect()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    assert act["x", 1] == pytest.approx(sig(0.1 + 1 + 0.1 - 2 - 0.5)) and act["y", 0] == pytest.approx(sig(-1 + 0.5))
 
 
 def test_pair_counts_gram_equals_self_join(spark):
