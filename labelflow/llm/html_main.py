@@ -173,13 +173,15 @@ class RegionModel:
     def extract(self, page: str) -> str:
         score, kept = [], []
         for kind, what, around in parse(page):
+            marked = any(not ARTICLE.isdisjoint(k) for k in around)
             if kind == "tag":
-                score.append(self.tags.get(what, -0.5))
+                score.append(-0.05 if marked else self.tags.get(what, -0.5))
                 kept.append(None)
             else:
                 w = self.word_weight(around)
-                # furniture inside the article separates its parts, but not at the price of either
-                score.append((w if w > 0 else 0.25 * w) * (what.count(" ") + 1))
+                # furniture between parts of the text goes, but its length does not cut the text in two: inside a marked
+                # article it costs nothing, elsewhere little
+                score.append((w if w > 0 else 0.0 if marked else 0.25 * w) * (what.count(" ") + 1))
                 kept.append(what if w > 0 else None)
         best, top, start, run = (0, 0), 0.0, 0, 0.0
         for i, s in enumerate(score):

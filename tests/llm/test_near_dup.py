@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from helpers import CLASH, DOC, same_rows, words
+from helpers import CLASH, DOC, clashing, docs, no_docs, rows, same_rows, words  # noqa: F401
 
 from labelflow.llm import near_dup
 from labelflow.llm.components import components

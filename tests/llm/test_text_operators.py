@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import CLASH, same_rows
+from helpers import CLASH, clashing, docs, no_docs, rows, same_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from labelflow.llm import exact_dedup, line_dedup, packing, pieces, sharding
@@ -64,17 +64,19 @@ def tok():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_word_ids_on_odd_texts(tok):
-    rng, table = random.Random(2), packing.WordIds(tok)
-    for _ in range(3000):
-        t = "".join(rng.choice([" ", "a", "b'", "s", "\n", " \t", "é", "9", "!", "　", "<|endoftext|>", " ", "\x1c"]) for _ in range(rng.randrange(10)))
-        table.learn([t])
-        assert np.frombuffer(table.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+TOKENIZER = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_ids_equal_the_tokenizers_library(tok):
+    rng = random.Random(2)
+    encoding = packing.byte_encoding(TOKENIZER.ranks_file, TOKENIZER.pattern, TOKENIZER.special)
+    for _ in range(5000):
+        t = "".join(rng.choice([" ", "a", "b'", "s", "\n", " \t", "é", "9", "!", "\u3000", "<|endoftext|>", "\xa0", "\x1c", "\x85", "\u200b", "Ǆ", "e\u0301", "½", "٣", "的", "😀"]) for _ in range(rng.randrange(10)))
+        assert packing.token_ids(encoding, t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_packing(rows, clashing, no_docs, tok):
-    file = public_tokenizers.path("byte_bpe_50k.json")
-    got = packing.pack(clashing, file, 256, 1).collect()
+    got = packing.pack(clashing, TOKENIZER, 256, 1).collect()
     ids = [(d, tok.encode(t or "", add_special_tokens=False).ids + [1]) for d, t, *_ in rows]
     want = [(d, s, min(256, len(x) - s), zlib.crc32(np.array(x[s:s + 256], "<u4").tobytes()), len(x)) for d, x in ids for s in range(0, len(x), 256)]
     assert same_rows([tuple(r)[:5] for r in got], want)
@@ -89,7 +91,7 @@ def test_packing(rows, clashing, no_docs, tok):
         assert at <= 256
     total = sum(len(x) for _, x in ids)
     assert len(fill) * 256 <= total * 1.05 + 256 * 8  # one open window a task
-    assert packing.pack(no_docs, file).collect() == []
+    assert packing.pack(no_docs, TOKENIZER).collect() == []
 
 
 def test_best_fit_decreasing_against_scan():
