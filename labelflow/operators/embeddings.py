@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.constants import ALPHABET
+
 
 def as_doubles(vec: Column | str) -> Column:
     return (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
@@ -100,6 +102,41 @@ def masked_mean_pool(df: DataFrame, tokens: str, mask: str, vectors: np.ndarray,
     return df.select(F.col(tokens).cast("array<int>"), F.col(mask).cast("array<int>"), *keep).mapInArrow(run, schema)
 
 
+def embed_sequences(df: DataFrame, seq: str, encoder, keep: tuple[str, ...], out: str = "embedding") -> DataFrame:
+    """(*keep, out): one vector per sequence from ``encoder``, a function from a list of strings to a (rows, dims)
+    matrix that is shipped to the tasks and called per Arrow batch (a token-vector model, a k-mer composition, or a
+    backbone that the caller loads inside it). A null sequence is encoded as the empty one."""
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = encoder([s or "" for s in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], _lists(np.asarray(x, dtype=np.float64))], names=[*keep, out])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} array<double>"
+    return df.select(F.col(seq).alias("_s"), *keep).mapInArrow(run, schema)
+
+
+def kmer_encoder(k: int = 2, symbols: str = ALPHABET[1:]):
+    """Encoder of k-mer composition: counts of the overlapping k-mers over ``symbols``, in symbol order; k-mers with any
+    other letter are not counted."""
+    code = np.full(256, -1, dtype=np.int64)
+    code[[ord(c) for c in symbols]] = np.arange(len(symbols))
+    dims = len(symbols) ** k
+
+    def encode(seqs: list[str]) -> np.ndarray:
+        raw = code[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)]
+        row = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+        n = max(len(raw) - k + 1, 0)
+        at, ok = np.zeros(n, np.int64), row[:n] == row[k - 1: k - 1 + n]
+        for i in range(k):
+            at = at * len(symbols) + raw[i: i + n]
+            ok = ok & (raw[i: i + n] >= 0)
+        return np.bincount(row[:n][ok] * dims + at[ok], minlength=len(seqs) * dims).reshape(len(seqs), dims)
+
+    return encode
+
+
 def contrastive_batch_loss(feat: DataFrame, temperature: float = 0.05) -> DataFrame:
     """In-batch contrastive loss per batch. ``feat``: (batch_id, pair_id, side 0/1, x array) with L2-normalised
     features; each pair is a positive, every other feature of the batch a negative, negatives re-weighted by

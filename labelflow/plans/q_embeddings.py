@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelflow.constants import Q
+from labelflow.constants import ALPHABET, Q
 from labelflow.functions.residues import encode_residues
 from labelflow.operators import embeddings as EM
 from labelflow.operators.common import out
@@ -90,6 +90,20 @@ def q_masked_mean_pool(spark, sf_dir):
     return EM.long_vectors(pooled, "pooled", ("header",)).select("header", "dim", out("x", "pooled"))
 
 
+KMER_SQL = with_("seqs") + """, k as (select header, substr(sequence, cast(r.i as bigint), 2) as kmer from seqs, range(1, 64) r(i) where r.i < length(sequence))
+    select header, kmer, count(*) as n from k group by header, kmer"""
+
+
+@register("kmer_counts", KMER_SQL)
+def q_kmer_counts(spark, sf_dir):
+    """2-mer composition of every ungapped window (the encoder's vector, its nonzero entries)."""
+    letters = ALPHABET[1:]
+    names = F.array(*[F.lit(a + b) for a in letters for b in letters])
+    v = EM.embed_sequences(seq_table(spark, sf_dir), "sequence", EM.kmer_encoder(2), ("header",), out="v")
+    x = v.select("header", F.posexplode("v").alias("dim", "n")).where("n > 0")
+    return x.select("header", F.element_at(names, F.col("dim") + 1).alias("kmer"), F.col("n").cast("bigint").alias("n"))
+
+
 LOSS_SQL = with_("embn") + f""", r as (select vec_id, label, row_number() over (partition by label order by md5('{SEED}:' || vec_id), vec_id) - 1 as rn
         from embeddings),
     p as (select vec_id, label || ':' || cast(rn // 2 as varchar) as pair_key, cast(rn % 2 as integer) as side from r),

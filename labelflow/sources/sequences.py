@@ -28,9 +28,17 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.withColumn("sequence_align", F.rpad("_c", window, GAP)).drop("_c")
 
 
+#: session setting for inputs that come as few large row groups, which a scan can't split: the number of partitions
+#: that documents are dealt to before any work. Unset (the default), the scan's own splits are used.
+SCAN_PARTITIONS = "spark.labelflow.scanPartitions"
+
+
 def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """seqs(header, sequence, sequence_align, label, is_train, doc_id, k)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    spread = spark.conf.get(SCAN_PARTITIONS, None)
+    if spread:
+        docs = docs.repartition(int(spread), "doc_id")
     # labelled documents; distinct guards against duplicate doc ids fanning out the join. Joined before the windows
     # are cut, so a filter on is_train becomes a semi or anti join of documents
     lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("is_train", F.lit(True))

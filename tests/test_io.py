@@ -69,3 +69,19 @@ def test_experiment_catalog(spark):
     assert g.count() == 2 * 4 + 3 + 1 + 1
     assert g.where((F.col("dataset") == "RR") & (F.col("t1") == 0.4) & (F.col("n_train") == 100)) \
         .first().train_path.endswith("RR/t10.4_t20.7/train_100.csv")
+
+
+def test_annotate_files_writes_archive_and_labels(spark, tmpdir_path):
+    from labelflow.operators.classify import annotate_files
+    train, query = os.path.join(tmpdir_path, "train.csv"), os.path.join(tmpdir_path, "q.fasta")
+    with open(train, "w") as f:
+        f.write("header,sequence,sequence_align,label\n" + "".join(f"t{i},{s},{s},{c}\n" for i, (s, c) in enumerate([("A" * 64, "x"), ("C" * 64, "y")] * 10)) + f"u,{'D' * 64},{'D' * 64},\n")
+    with open(query, "w") as f:
+        f.write(f">q1 first\n{'A' * 40}\n{'A' * 24}\n>q2\n{'C' * 64}\n")
+    out = os.path.join(tmpdir_path, "out")
+    got = {r.header: (r.label, r.p) for r in annotate_files(spark, train, query, out, "D", 0.4, 20).collect()}
+    assert got["q1"][0] == "x" and got["q2"][0] == "y" and min(p for _, p in got.values()) > 0.6
+    arch = S.read_predictions(spark, out + "/archive", dataset="D", n_train=20).collect()
+    assert {r.header: r.label for r in arch} == {"q1": "x", "q2": "y"} and all(abs(sum(r.probs) - 1) < 1e-6 for r in arch)
+    csv = spark.read.option("header", True).csv(out + "/labels_csv")
+    assert {r.header: r.label for r in csv.collect()} == {"q1": "x", "q2": "y"}

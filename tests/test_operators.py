@@ -213,3 +213,17 @@ def test_factorised_pearson_matches_dense_brute_force(spark):
     got = {r.label: r.pearson for r in T.pair_correlation(dd, mm, L=L).collect()}
     for g, v in exp.items():
         assert got[g] == pytest.approx(v, abs=1e-9)
+
+
+def test_kmer_composition(spark):
+    from labelflow.operators import embeddings as EM
+    seqs = ["ACAC", "", None, "A", "AB-CC", "WYW"]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)], "id string, s string")
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    got = {int(r.id): r.v for r in EM.embed_sequences(df, "s", EM.kmer_encoder(2), ("id",), out="v").collect()}
+    for i, s in enumerate(seqs):
+        want = {}
+        for a, b in zip(s or "", (s or "")[1:]):
+            if a in letters and b in letters:
+                want[letters.index(a) * 20 + letters.index(b)] = want.get(letters.index(a) * 20 + letters.index(b), 0) + 1
+        assert {j: n for j, n in enumerate(got[i]) if n} == want
