@@ -19,6 +19,8 @@ table, no join, no shuffle, and rows that share a header stay separate predictio
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,29 +41,48 @@ for _i, _ch in enumerate(ALPHABET):
     _LUT[ord(_ch)] = _i
 
 
-def fit_profiles(train_seqs: DataFrame) -> DataFrame:
-    """profile(method, label, bucket, aa, m, n): labelled site counts, materialised (the fitted model).
+def fit_profiles(train_seqs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """profile(*by, method, label, bucket, aa, m, n): labelled site counts, materialised (the fitted model, or one
+    model per value of the ``by`` columns).
 
     One aggregation of the labelled sites by (label, pos, aa) (map-side combined to at most
     classes x L x q groups); the block and composition profiles are re-aggregations of that small
     table, so the large site stream is read once and never multiplied by the predictor count."""
-    s = sites(train_seqs, keep=("label",))
-    site_counts = s.groupBy("label", "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
+    s = sites(train_seqs, keep=(*by, "label"))
+    site_counts = s.groupBy(*by, "label", "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
     parts = []
     for name, b, m in PREDICTORS:
-        parts.append(site_counts.select(F.lit(name).alias("method"), "label", F.expr(b).cast("int").alias("bucket"),
+        parts.append(site_counts.select(*by, F.lit(name).alias("method"), "label", F.expr(b).cast("int").alias("bucket"),
                                         "aa", F.lit(m).alias("m"), "n")
-                     .groupBy("method", "label", "bucket", "aa", "m").agg(F.sum("n").cast("long").alias("n")))
+                     .groupBy(*by, "method", "label", "bucket", "aa", "m").agg(F.sum("n").cast("long").alias("n")))
     prof = parts[0]
     for p in parts[1:]:
         prof = prof.unionByName(p)
     return materialize(prof)
 
 
-def profile_arrays(profile: DataFrame, window: int = WINDOW) -> tuple[list[str], np.ndarray, dict[str, np.ndarray]]:
-    """(sorted labels, n_seq per label, counts[method] of shape (window, q + 1, labels)); the last symbol
-    slot stays zero and stands for anything outside the alphabet. Model parameters, sized by their shape."""
+@dataclass
+class ProfileModel:
+    """Sorted labels, sequences per label, counts[method] of shape (window, q + 1, labels); the last symbol slot
+    stays zero and stands for anything outside the alphabet."""
+
+    labels: list[str]
+    n_seq: np.ndarray
+    counts: dict[str, np.ndarray]
+
+
+def profile_models(profile: DataFrame, by: str, window: int = WINDOW) -> dict:
+    """One model per value of the ``by`` column."""
     rows = profile.toPandas()
+    return {k: _model(part, window) for k, part in rows.groupby(by)}
+
+
+def profile_model(profile: DataFrame, window: int = WINDOW) -> ProfileModel:
+    """Model parameters, sized by their shape."""
+    return _model(profile.toPandas(), window)
+
+
+def _model(rows, window: int) -> ProfileModel:
     sizes = rows[(rows.method == "msa") & (rows.bucket == 1)].groupby("label")["n"].sum().sort_index()
     labels = [str(c) for c in sizes.index]
     at = {c: i for i, c in enumerate(labels)}
@@ -72,40 +93,47 @@ def profile_arrays(profile: DataFrame, window: int = WINDOW) -> tuple[list[str],
         per_bucket[mine.bucket.to_numpy(int), [ALPHABET.find(x) for x in mine.aa], [at[c] for c in mine.label]] = mine.n.to_numpy(float)
         bucket = {1: np.arange(1, window + 1), 8: np.arange(window) // 8, WINDOW: np.zeros(window, int)}[m]
         counts[name] = per_bucket[bucket]
-    return labels, sizes.to_numpy(float), counts
+    return ProfileModel(labels, sizes.to_numpy(float), counts)
 
 
 def predict_wide(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (),
                  seq: str = "sequence_align") -> tuple[DataFrame, list[str]]:
     """(header, *keep, p_<method> array<double> over sorted classes) per row; and the class list. A row without any
     symbol seen in training has the same probability for every class."""
-    labels, n_seq, counts = profile_arrays(profile, window)
+    model = profile_model(profile, window)
+    return score_rows({"": model}, query_seqs, window, keep, seq), model.labels
+
+
+def score_rows(models: dict[str, ProfileModel], query_seqs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (),
+               seq: str = "sequence_align") -> DataFrame:
+    """(header, *keep, p_<method><suffix> array<double> over that model's classes) per row, for every model by suffix, in
+    one pass over the rows."""
     names = ("header",) + tuple(keep)
-    methods = [(name, m) for name, _, m in PREDICTORS]
+    methods = [(name, m, suffix, model) for suffix, model in models.items() for name, _, m in PREDICTORS]
 
     def run(batches):
         pos = np.arange(window)[None, :]
         for batch in batches:
-            probs = {name: [] for name, _ in methods}
+            probs = [[] for _ in methods]
             for lo in range(0, batch.num_rows, 1024):
                 texts = [(t or "")[:window].ljust(window, "\0") for t in batch.column(0).slice(lo, 1024).to_pylist()]
                 raw = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8).reshape(len(texts), window)
                 codes = _LUT[raw]
-                for name, m in methods:
-                    score = counts[name][pos, codes].sum(axis=1) / (n_seq * m * window)
+                for parts, (name, m, _, model) in zip(probs, methods):
+                    score = model.counts[name][pos, codes].sum(axis=1) / (model.n_seq * m * window)
                     e = score ** 8
                     total = e.sum(axis=1, keepdims=True)
-                    probs[name].append(np.where(total > 0, e / np.where(total > 0, total, 1), 1 / max(len(labels), 1)))
+                    parts.append(np.where(total > 0, e / np.where(total > 0, total, 1), 1 / max(len(model.labels), 1)))
             cols = []
-            for name, _ in methods:
-                x = np.concatenate(probs[name]) if probs[name] else np.empty((0, len(labels)))
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(labels))
+            for parts, (_, _, _, model) in zip(probs, methods):
+                x = np.concatenate(parts) if parts else np.empty((0, len(model.labels)))
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(model.labels))
                 cols.append(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*names, *(f"p_{n}" for n, _ in methods)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*names, *(f"p_{n}{suffix}" for n, _, suffix, _ in methods)])
 
     passed = ", ".join(f"`{c}` {query_seqs.schema[c].dataType.simpleString()}" for c in names)
-    schema = passed + "".join(f", p_{n} array<double>" for n, _ in methods)
-    return query_seqs.select(F.col(seq).alias("_s"), *names).mapInArrow(run, schema), labels
+    schema = passed + "".join(f", p_{n}{suffix} array<double>" for n, _, suffix, _ in methods)
+    return query_seqs.select(F.col(seq).alias("_s"), *names).mapInArrow(run, schema)
 
 
 def long_preds(wide: DataFrame, labels: list[str], keep: tuple[str, ...] = ("header",)) -> DataFrame:
