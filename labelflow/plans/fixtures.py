@@ -9,9 +9,10 @@ from labelflow.operators.profile import PREDICTORS, argmax, fit_profiles, long_p
 from labelflow.sources.sequences import seqs
 
 
-def seq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows, as a plain scan: every query prunes and filters it for itself."""
-    return seqs(spark, sf_dir)
+def seq_table(spark: SparkSession, sf_dir: str, with_split: bool = True) -> DataFrame:
+    """All windows, as a plain scan: every query prunes and filters it for itself. Queries that do not look at the
+    train/query split ask for the windows alone."""
+    return seqs(spark, sf_dir, with_split=with_split)
 
 
 def profile_wide(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), rows: str = "not is_train"):

@@ -84,7 +84,7 @@ def q_masked_mean_pool(spark, sf_dir):
     vec_id falls on that token, vec_id mod q) -> mean over unmasked (non-gap) positions."""
     e = _emb(spark, sf_dir).withColumn("token", F.pmod(F.col("vec_id"), F.lit(Q)).cast("int"))
     vectors = EM.matrix(EM.token_vectors(e, "embedding"), "token", "dim", "v")
-    s = seq_table(spark, sf_dir).select("header", encode_residues("sequence_align").alias("codes"))
+    s = seq_table(spark, sf_dir, with_split=False).select("header", encode_residues("sequence_align").alias("codes"))
     s = s.withColumn("mask", F.transform("codes", lambda c: (c != 0).cast("int")))
     pooled = EM.masked_mean_pool(s, "codes", "mask", vectors, ("header",))
     return EM.long_vectors(pooled, "pooled", ("header",)).select("header", "dim", out("x", "pooled"))
@@ -99,7 +99,7 @@ def q_kmer_counts(spark, sf_dir):
     """2-mer composition of every ungapped window (the encoder's vector, its nonzero entries)."""
     letters = ALPHABET[1:]
     names = F.array(*[F.lit(a + b) for a in letters for b in letters])
-    v = EM.embed_sequences(seq_table(spark, sf_dir), "sequence", EM.kmer_encoder(2), ("header",), out="v")
+    v = EM.embed_sequences(seq_table(spark, sf_dir, with_split=False), "sequence", EM.kmer_encoder(2), ("header",), out="v")
     x = v.select("header", F.posexplode("v").alias("dim", "n")).where("n > 0")
     return x.select("header", F.element_at(names, F.col("dim") + 1).alias("kmer"), F.col("n").cast("bigint").alias("n"))
 

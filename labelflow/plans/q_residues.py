@@ -26,19 +26,19 @@ def _split_col():
 
 @register("space_residues", with_("seqs") + "select header, array_to_string(string_split(sequence, ''), ' ') as spaced from seqs")
 def q_space_residues(spark, sf_dir):
-    return seq_table(spark, sf_dir).select("header", R.space_residues("sequence").alias("spaced"))
+    return seq_table(spark, sf_dir, with_split=False).select("header", R.space_residues("sequence").alias("spaced"))
 
 
 @register("encode_residues", with_("seqs") + f"select header, array_to_string({ENC}, ',') as codes from seqs")
 def q_encode_residues(spark, sf_dir):
-    return seq_table(spark, sf_dir).select("header", F.array_join(R.encode_residues("sequence_align"), ",").alias("codes"))
+    return seq_table(spark, sf_dir, with_split=False).select("header", F.array_join(R.encode_residues("sequence_align"), ",").alias("codes"))
 
 
 @register("one_hot", with_("seqs") + f"""select header, cast((r.i - 1) * {Q} + instr('{ALPHABET}', substr(sequence_align, cast(r.i as bigint), 1)) - 1 as integer)
     as idx from seqs, range(1, 65) r(i)""")
 def q_one_hot(spark, sf_dir):
     """F5 long form: one row per nonzero of the flattened one-hot (idx = pos * q + code, pos 0-based)."""
-    s = seq_table(spark, sf_dir).select("header", R.encode_residues("sequence_align").alias("codes"))
+    s = seq_table(spark, sf_dir, with_split=False).select("header", R.encode_residues("sequence_align").alias("codes"))
     return s.select("header", F.posexplode("codes").alias("p", "c")).select(
         "header", (F.col("p") * Q + F.col("c")).cast("int").alias("idx"))
 
@@ -48,7 +48,7 @@ def q_one_hot(spark, sf_dir):
     replace(array_to_string(list_transform({ENC}, lambda i: substr('{ALPHABET}', i + 1, 1)), ''), '-', '') as ungapped
     from seqs""")
 def q_decode_residues(spark, sf_dir):
-    s = seq_table(spark, sf_dir).select("header", R.encode_residues("sequence_align").alias("codes"))
+    s = seq_table(spark, sf_dir, with_split=False).select("header", R.encode_residues("sequence_align").alias("codes"))
     d = s.select("header", R.decode_residues("codes").alias("decoded"))
     return d.select("header", "decoded", R.strip_gaps("decoded").alias("ungapped"))
 
@@ -58,7 +58,7 @@ def q_decode_residues(spark, sf_dir):
     from seqs a join seqs b on a.doc_id = b.doc_id and b.k = a.k + 1""")
 def q_sequence_identity(spark, sf_dir):
     """F13 between consecutive windows of a document (an equi-join on (doc_id, k+1))."""
-    s = seq_table(spark, sf_dir).select("doc_id", "k", "header", "sequence_align")
+    s = seq_table(spark, sf_dir, with_split=False).select("doc_id", "k", "header", "sequence_align")
     nxt = s.select("doc_id", (F.col("k") - 1).alias("k"), F.col("header").alias("next_header"),
                    F.col("sequence_align").alias("next_align"))
     j = s.join(nxt, ["doc_id", "k"])
@@ -69,7 +69,7 @@ def q_sequence_identity(spark, sf_dir):
     as raw, substr(split_part('>' || header || ' ' || label || ' window', ' ', 1), 2) as id, sequence from seqs""")
 def q_fasta_header_id(spark, sf_dir):
     """F15 on FASTA description lines rendered from the sequence table."""
-    s = seq_table(spark, sf_dir).select(F.concat(F.lit(">"), "header", F.lit(" "), "label", F.lit(" window")).alias("d"),
+    s = seq_table(spark, sf_dir, with_split=False).select(F.concat(F.lit(">"), "header", F.lit(" "), "label", F.lit(" window")).alias("d"),
                                         "sequence")
     return s.select(F.split("d", " ")[0].alias("raw"), R.fasta_header_id("d").alias("id"), "sequence")
 
@@ -83,7 +83,7 @@ LABEL_DIM = "(select label, cast(dense_rank() over (order by label) - 1 as integ
     from seqs s left join {LABEL_DIM} d on s.label = d.label""")
 def q_label_index(spark, sf_dir):
     """C9 + F16: label -> index -> label, and the one-hot of the index."""
-    s = seq_table(spark, sf_dir).select("header", "label")
+    s = seq_table(spark, sf_dir, with_split=False).select("header", "label")
     dim = LB.label_index(s)
     n = dim.count()  # number of classes (tiny, needed as the one-hot width)
     j = LB.one_hot_labels(s, dim, n)
@@ -141,7 +141,7 @@ def q_relabel_values(spark, sf_dir):
 @register("sample_cap", with_("seqs") + f"""select header, label from seqs
     order by md5('{SEED}:' || header), header limit {SAMPLE_CAP}""")
 def q_sample_cap(spark, sf_dir):
-    return S.sample_cap(seq_table(spark, sf_dir).select("header", "label"), SAMPLE_CAP, SEED)
+    return S.sample_cap(seq_table(spark, sf_dir, with_split=False).select("header", "label"), SAMPLE_CAP, SEED)
 
 
 @register("sequence_ids", with_("seqs") + """select header, 'gen_' || cast(row_number() over (order by doc_id, k) - 1 as varchar)

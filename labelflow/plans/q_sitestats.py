@@ -28,13 +28,13 @@ def generate_from_profile(train, labels_df, k: int = TARGETS_PER_LABEL, seed: in
 
 @register("site_frequencies", with_("fi") + "select grp, pos, aa, n, round(f, 6) as f from fi")
 def q_site_frequencies(spark, sf_dir):
-    f = T.site_frequencies(seq_table(spark, sf_dir))
+    f = T.site_frequencies(seq_table(spark, sf_dir, with_split=False))
     return f.select("grp", "pos", "aa", "n", out("f", "f"))
 
 
 @register("pair_frequencies", with_("fij") + "select grp, i, a, j, b, n from fij")
 def q_pair_frequencies(spark, sf_dir):
-    return T.pair_counts(seq_table(spark, sf_dir))
+    return T.pair_counts(seq_table(spark, sf_dir, with_split=False))
 
 
 @register("profile_generate", with_("gen") + "select header, sequence, sequence_align, label from gen")

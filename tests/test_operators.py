@@ -227,3 +227,45 @@ def test_kmer_composition(spark):
             if a in letters and b in letters:
                 want[letters.index(a) * 20 + letters.index(b)] = want.get(letters.index(a) * 20 + letters.index(b), 0) + 1
         assert {j: n for j, n in enumerate(got[i]) if n} == want
+
+
+def test_macro_roc_over_many_partitions_equals_interpolation(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for m in ("m", "n"):
+        curves = {}
+        for c in "abc":
+            x = np.sort(np.append(rng.integers(0, 400, 300) / 400, [0.0, 1.0]))
+            y = np.sort(np.append(rng.uniform(size=300), [0.0, 1.0]))
+            curves[c] = (x, y)
+            rows += [(m, c, float(a), float(b)) for a, b in zip(x, y)]
+        for g in np.unique(np.concatenate([x for x, _ in curves.values()])):
+            ys = []
+            for x, y in curves.values():
+                i = np.searchsorted(x, g, side="right") - 1  # the highest tpr at a repeated fpr
+                ys.append(y[i] if x[i] == g else y[i] + (g - x[i]) * (y[i + 1] - y[i]) / (x[i + 1] - x[i]))
+            want[m, float(g)] = np.mean(ys)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "method string, label string, fpr double, tpr double")
+        got = {(r.method, r.fpr): r.mean_tpr for r in V.macro_roc(df, ["method"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+@pytest.mark.parametrize("name, columns", [("space_residues", {"doc_id", "text"}), ("one_hot", {"doc_id", "text"}), ("encode_residues", {"doc_id", "text"})])
+def test_one_pass_queries_scan_once_without_exchange(spark, name, columns):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert {c.split(":")[0] for c in schema.split(",")} == columns
+
+
+def test_split_filter_reaches_the_documents(spark):
+    from conftest import SF_SMALL
+    from labelflow.plans.fixtures import seq_table
+    plan = seq_table(spark, SF_SMALL).where("is_train").select("header")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join Inner")  # windows are cut from labelled documents only
