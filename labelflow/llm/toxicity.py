@@ -2,8 +2,9 @@
 
 Weights: for every word, and every beginning of four to eight letters (inflected forms share it), the log-odds of its
 document frequency among toxic against other labelled texts, under a Dirichlet prior in proportion to its frequency
-overall. Units whose log-odds lie within a few standard deviations of zero are left out. A word weighs as its most
-significant unit; without one it is neutral, a small penalty, so that the expected score of clean text is negative. Texts are
+overall; of copies and most near copies one is counted. Units whose log-odds lie within a few standard deviations of
+zero, or are small, are left out. A word weighs as its most significant unit; without one it is neutral, a penalty
+large enough that the expected score of clean text is negative. Texts are
 scanned in linear time for all maximal scoring segments (Ruzzo and Tompa). Segment scores are calibrated by extreme
 values: lambda solves sum p(w) exp(lambda s(w)) = 1 over clean text, and a segment of score S in n words is expected
 n exp(-lambda S) times by chance. The text's score is a logistic function of its segments' calibrated scores. Counts, lambda
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm.common import stored
+from labelflow.llm.near_dup import shingle_set
 from labelflow.llm.quality import labelled_sample
+from labelflow.llm.words import WordHash
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: score of a word without significant log-odds
+#: score of a word without significant log-odds, at most (clean text with many weighted words needs a lower one)
 NEUTRAL = -0.05
 
 
@@ -90,13 +93,14 @@ class ToxicityModel:
     #: unit to (log-odds, standard score)
     weights: WordWeights = field(default_factory=lambda: WordWeights({}))
     lam: float = 0.0
+    gap: float = NEUTRAL
     coef: tuple[float, ...] = (-30.0, 0.0, 0.0)
 
     def segments(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
         """Number of words, and the maximal segments (score, first word, last word)."""
         w = list(map(self.weights.__getitem__, tokens_of(text)))
         at = [i for i, v in enumerate(w) if v]
-        return len(w), maximal_segments(at, [w[i] for i in at], NEUTRAL) if at else []
+        return len(w), maximal_segments(at, [w[i] for i in at], self.gap) if at else []
 
     def features(self, text: str) -> tuple[float, float]:
         """Calibrated score of the best segment, and the sum over all that are not expected by chance."""
@@ -143,10 +147,20 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_min: float = 4.0, max_units: int = 200_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_min: float = 4.0, min_log_odds: float = 1.5, max_units: int = 200_000) -> ToxicityModel:
     """The model of the labelled rows that are not held out. Of the units of that bounded sample, those with
     significant log-odds come to the driver (the max_units strongest)."""
-    train = stored(labelled_sample(docs, labels.where(~is_held_out(F.col("doc_id"))), "toxic", max_train_rows), "toxicity-train")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHash()
+        for b in batches:
+            firsts = [int(s[0]) >> 1 if len(s := shingle_set(t.as_py() or "", table, 5)) else 0 for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, pa.int64())], names=["text", "y", "first"])
+
+    sample = labelled_sample(docs, labels.where(~is_held_out(F.col("doc_id"))), "toxic", max_train_rows).select("text", "y")
+    # copies share their smallest shingle hash, and near copies mostly do: the words of a text that was copied
+    # often would look significant. The text is kept with the smallest of these rows
+    train = stored(sample.mapInArrow(mark, "text string, y int, first bigint").groupBy("first").agg(F.min(F.struct("text", "y")).alias("r"))
+                   .select("r.text", "r.y"), "toxicity-train")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     a, b = F.col("a") + m, F.col("b") + m
     delta = F.log(a / (n1 + prior - a + 1)) - F.log(b / (n0 + prior - b + 1))
     rows = (freq.select("unit", delta.alias("d"), (delta / F.sqrt(1 / a + 1 / b)).alias("z"))
-            .where(F.abs("z") > z_min).orderBy(F.abs("z").desc(), "unit").limit(max_units).collect())
+            .where((F.abs("z") > z_min) & (F.abs("d") >= min_log_odds)).orderBy(F.abs("z").desc(), "unit").limit(max_units).collect())
     model = ToxicityModel(WordWeights({r["unit"]: (float(r["d"]), float(r["z"])) for r in rows}))
     if not rows:
         return model
@@ -183,7 +197,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     # how often clean text has each weight: at most one row per unit
     back = train.where("y = 0").select("text").mapInArrow(background, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
     s, p = back["s"].to_numpy(float), back["n"].to_numpy(float)
-    model.lam = solve_lambda(p / p.sum(), np.where(s == 0, NEUTRAL, s)) or 1.0
+    p = p / p.sum()
+    weighted = s != 0
+    # twice the mean gain of clean text from weighted words, spread over its neutral ones
+    model.gap = min(NEUTRAL, -2 * float((p * s)[weighted].sum()) / max(float(p[~weighted].sum()), 1e-9))
+    model.lam = solve_lambda(p, np.where(weighted, s, model.gap)) or 1.0
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
