@@ -147,7 +147,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_min: float = 4.0, min_log_odds: float = 1.5, max_units: int = 200_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_scale: float = 0.9, min_log_odds: float = 1.5, max_units: int = 200_000) -> ToxicityModel:
     """The model of the labelled rows that are not held out. Of the units of that bounded sample, those with
     significant log-odds come to the driver (the max_units strongest)."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +178,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
         return ToxicityModel()
     freq = (train.select("text", "y").mapInArrow(units, "unit string, y int").groupBy("unit")
             .agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b")))
+    # the largest of n standard normal scores is about sqrt(2 log n): more texts need stronger evidence
+    z_min = z_scale * float(np.sqrt(2 * np.log(max(n1 + n0, 2))))
     # Dirichlet prior: `prior` pseudo-documents that hold each unit at its frequency overall
     m = prior * (F.col("a") + F.col("b")) / (n1 + n0)
     a, b = F.col("a") + m, F.col("b") + m
