@@ -12,9 +12,11 @@ itself; ties in length go by order of arrival; a null identifier is packed like
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,62 +26,45 @@ from pyspark.sql import functions as F
 from labelflow.llm.common import stored
 
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: white space before a space: pre-tokens may reach across that boundary, so such texts are not cut at spaces
-JOINED = re.compile(r"\s ")
-TABLE_ROWS, TABLE_WORD = 400_000, 48
 
 
-class WordIds(dict):
-    """Word to the little-endian ids of the word with a space before it. The pre-tokeniser starts a new pre-token
-    at a space that follows a non-space, so such words are tokenised once each."""
+@dataclass(frozen=True)
+class Tokenizer:
+    """A byte-level tokenizer: file of merge ranks, pre-token pattern, special tokens and their ids."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ranks_file: str
+    pattern: str
+    special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),)
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Tokenise the words that are new in a batch of texts, each once."""
-        new = {w for t in texts for w in t.split(" ")[1:] if w not in self and len(w) <= TABLE_WORD}
-        if len(self) + len(new) > TABLE_ROWS:
-            self.clear()
-            new = {w for t in texts for w in t.split(" ")[1:] if len(w) <= TABLE_WORD}
-        words = list(new)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+@lru_cache(maxsize=2)
+def byte_encoding(ranks_file: str, pattern: str, special: tuple[tuple[str, int], ...]):
+    """The byte-level tokenizer of a file of merge ranks. A worker builds it once for all its tasks."""
+    import tiktoken
 
-    def __missing__(self, word: str) -> bytes:
-        return self.direct(" " + word)
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
-    def encode(self, text: str) -> bytes:
-        if JOINED.search(text) or any(s in text for s in self.special):
-            return self.direct(text)
-        first, *rest = text.split(" ")
-        return self.direct(first) + b"".join(map(self.__getitem__, rest))
 
+def token_ids(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text; the strings of special tokens are read as these tokens."""
+    ids = encoding.encode(text, allowed_special="all") if any(s in text for s in encoding.special_tokens_set) else encoding.encode_ordinary(text)
+    return np.array(ids, "<u4")
 
-def pieces(docs: DataFrame, tokenizer_file: str, window: int, end_id: int) -> DataFrame:
+
+def pieces(docs: DataFrame, tokenizer: Tokenizer, window: int, end_id: int) -> DataFrame:
     """The cut documents: every piece has `window` ids but a document's last, which has fewer (or as many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        table = WordIds(Tokenizer.from_file(tokenizer_file))
+        encoding = byte_encoding(tokenizer.ranks_file, tokenizer.pattern, tokenizer.special)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                table.learn(texts)
                 src, start, length, crc, total = [], [], [], [], []
-                for i, t in enumerate(texts):
-                    raw = table.encode(t) + end
+                for i, t in enumerate(part.column(1)):
+                    raw = token_ids(encoding, t.as_py() or "").tobytes() + end
                     n = len(raw) // 4
                     for s in range(0, n, window):
                         src.append(i)
@@ -157,8 +142,8 @@ def _pack(window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: Tokenizer, window: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = stored(pieces(docs, tokenizer_file, window, end_id), "packing")
+    cut = stored(pieces(docs, tokenizer, window, end_id), "packing")
     # full windows fill a sequence each, so they are packed alike, without looking at other pieces
     return cut.hint("rebalance").mapInArrow(_pack(window), PIECE_DDL + ", sequence_id bigint, offset bigint")

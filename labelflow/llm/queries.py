@@ -93,7 +93,7 @@ def op6(spark, sf_dir):
 
 @query("op7_packing")
 def op7(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), window=2048, end_id=1)
 
 
 @query("op8_quality_rules")
