@@ -252,7 +252,9 @@ def read_archives(runs: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
-    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run").mapInArrow(read, "run string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    names = runs.select("run").distinct()
+    # the names are few and short, their files are not: deal one file to a task on average
+    return names.repartition(max(1, names.count()), "run").mapInArrow(read, "run string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -260,4 +262,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     folder = folder or scratch(pages.sparkSession, "warc")
     runs = write_archives(pages, folder)
     history = merge_runs(runs).select("run", "offset", "url_key", "timestamp", F.col("record_type").alias("indexed_type"))
-    return read_archives(runs, folder).join(history, ["run", "offset"])
+    # both sides have a row per record, which the planner can't see behind the few names: no broadcast
+    return read_archives(runs, folder).hint("merge").join(history.hint("merge"), ["run", "offset"])
