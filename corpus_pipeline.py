@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+    return packing.pack(docs, packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), window=2048, end_id=1)
 
 
 STAGES = [("quality", quality_rules), ("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dup", drop_near_copies), ("packing", pack)]
