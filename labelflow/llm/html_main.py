@@ -3,8 +3,9 @@
 A page becomes a sequence of tags and text blocks. Words score by the elements around them and tags by their names, with
 weights learned from labelled pages: those that mark their article themselves (an article or main element); of these at most
 about `max_train_pages`, chosen by a hash, are counted. A key's weight is the log-odds of its words lying inside
-the article, under a prior that knows the usual names of page furniture; a tag's weight is that of its occurrences and never
-positive. One linear scan finds the contiguous region of the highest score; its blocks of positive weight are the
+the article, under a prior (pseudo-counts) that knows the usual names of page furniture; a tag's weight is that of its
+occurrences and never positive. Names say nothing against what they hold on elements that are the page's frame: html, body, a
+form around most of the page, the article itself and all that holds it. One linear scan finds the contiguous region of the highest score; its blocks of positive weight are the
 text, so furniture inside the article goes as well.
 
 Defined cases: a null or empty page has the empty text; a page without a positive block too; unclosed, misnested and cut-off
@@ -30,7 +31,7 @@ MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
     |<(script|style|noscript|template|title|svg|math|iframe|object|select|textarea|button|canvas|audio|video)(?=[\s/>]).*?(?:</\1\s*>|\Z)
     |<(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)""", re.S | re.I | re.X)
-NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -43,14 +44,23 @@ FURNITURE = frozenset("""nav menu navigation header footer sidebar aside ad ads
 ARTICLE = frozenset("article main articlebody".split())
 CONTENT = frozenset("article main articlebody content post entry story".split())
 PRIOR_WORDS = 40.0
+#: weight of a name that only the prior knows
+PRIOR_WEIGHT = math.log(PRIOR_WORDS + 1)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def element_keys(name: str, attributes: str) -> tuple[str, ...]:
-    """The element's name and the words of its class, id and role."""
+    """The element's name and the words of its class, id and role. Names of html and body are the page's, and a heading's id
+    is an anchor made of its words: neither counts."""
     keys = [name]
-    if "=" in attributes:
+    if "=" in attributes and name not in ("html", "body"):
         for m in NAMED.finditer(attributes):
-            keys += [x.lower() for x in PART.findall(m[1] or m[2] or m[3] or "")]
+            kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if kind == "id" and name in HEADINGS:
+                continue
+            if (kind, value.lower()) in (("role", "main"), ("itemprop", "articlebody")):
+                keys.append("articlebody")
+            keys += [x.lower() for x in PART.findall(value)]
     return tuple(dict.fromkeys(keys))
 
 
@@ -123,27 +133,82 @@ def parse(page: str) -> list[tuple[str, str | tuple[str, ...], tuple[tuple[str,
     return items
 
 
-def in_article(around: tuple[tuple[str, ...], ...]) -> bool:
-    return any(not ARTICLE.isdisjoint(k) for k in around) and not any(not FURNITURE.isdisjoint(k) for k in around)
+def marks(keys: tuple[str, ...], names: frozenset = ARTICLE) -> bool:
+    """Whether an element marks an article: by its tag, role or itemprop, or by such a name without one of furniture."""
+    return not names.isdisjoint(keys) and (keys[0] in ("article", "main") or "articlebody" in keys or FURNITURE.isdisjoint(keys))
+
+
+@dataclass
+class Frame:
+    """Elements of a page, as the ids of their key tuples: its own articles, and those around them (and other elements
+    around the whole page), whose names say nothing against what they hold."""
+    own: set[int] = field(default_factory=set)
+    around: set[int] = field(default_factory=set)
+
+    def article(self, around: tuple[tuple[str, ...], ...]) -> int:
+        """Index of the page's own article among the elements around a block or tag; -1 outside."""
+        return next((j for j, k in enumerate(around) if id(k) in self.own), -1)
+
+    def furniture(self, around: tuple[tuple[str, ...], ...]) -> bool:
+        """Whether furniture holds the block: inside the page's own article only names below it count."""
+        return any(id(k) not in self.around and not FURNITURE.isdisjoint(k) for k in around[self.article(around) + 1:])
+
+
+def frame_of(items: list) -> Frame:
+    """The page's own articles are the marked elements with the fewest names of furniture around them, unless an element named
+    as content elsewhere has fewer: then (or without any marked element) that element's surroundings are the frame."""
+    blocks = [(what.count(" ") + 1, around) for kind, what, around in items if kind == "block"]
+    form = Counter()
+    for n, around in blocks:
+        for k in around:
+            if k[0] == "form":
+                form[id(k)] += n
+    wide = {i for i, n in form.items() if 2 * n > sum(n for n, _ in blocks)}
+
+    def least(names, skip=frozenset()):
+        few, found, holders = None, set(), set()
+        for _, around in blocks:
+            if any(id(k) in skip and marks(k) for k in around):
+                continue
+            j = next((j for j, k in enumerate(around) if id(k) not in skip and marks(k, names)), -1)
+            # aside, nav, footer and the like are no frame by their tag
+            if j < 0 or any(k[0] in FURNITURE and k[0] != "form" for k in around[:j]):
+                continue
+            n = sum(id(k) not in wide and not FURNITURE.isdisjoint(k) for k in around[:j])
+            if few is None or n < few:
+                few, found, holders = n, set(), set()
+            if n == few:
+                found.add(id(around[j]))
+                holders.update(map(id, around[:j]))
+        return few, found, holders
+
+    few, own, holders = least(ARTICLE)
+    if few != 0:
+        other, _, others = least(CONTENT, own | holders)
+        if few is None or (other is not None and other < few):
+            return Frame(set(), wide | others)
+    return Frame(own, wide | holders)
 
 
 def count_page(page: str) -> Counter:
     """(kind, key, inside) counts of a page that marks its article; empty for other pages."""
     items = parse(page)
-    spans = [i for i, (kind, _, around) in enumerate(items) if kind == "block" and in_article(around)]
-    if not spans:
+    frame = frame_of(items)
+    inside = [kind == "block" and frame.article(around) >= 0 and not frame.furniture(around) for kind, _, around in items]
+    if not any(inside):
         return Counter()
-    first, last, got = spans[0], spans[-1], Counter()
+    first, last, got = inside.index(True), len(inside) - 1 - inside[::-1].index(True), Counter()
     for i, (kind, what, around) in enumerate(items):
-        keys = {k for ks in around for k in ks}
         # known furniture explains what it holds: plain containers inside it are not blamed
-        explained = not FURNITURE.isdisjoint(keys)
+        explained = frame.furniture(around)
         if kind == "tag":
             if not explained:
                 got["tag", what, first <= i <= last] += 1
-        else:
-            for key in keys & FURNITURE if explained else keys:
-                got["word", key, in_article(around)] += what.count(" ") + 1
+            continue
+        # names of furniture around the article hold its words, those inside it do not
+        below = around[frame.article(around) + 1:] if explained else around
+        for key in {k for ks in below for k in ks if not explained or k in FURNITURE}:
+            got["word", key, inside[i]] += what.count(" ") + 1
     return got
 
 
@@ -152,33 +217,36 @@ class RegionModel:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word_weight(self, around: tuple[tuple[str, ...], ...]) -> float:
+    def word_weight(self, around: tuple[tuple[str, ...], ...], frame: Frame) -> float:
         good = bad = 0.0
         article = False
         for keys in around:
+            framed = id(keys) in frame.around or id(keys) in frame.own
             for key in keys:
                 if key == "header" and article:
                     continue  # an article's own head
                 w = self.words.get(key)
                 if w is None:
-                    w = -4.0 if key in FURNITURE else 3.0 if key in CONTENT else 0.0
+                    w = -PRIOR_WEIGHT if key in FURNITURE else PRIOR_WEIGHT if key in CONTENT else 0.0
                 if w > 0:
                     good = max(good, w)
-                else:
+                elif not framed:
                     bad = min(bad, w)
-            article = article or not ARTICLE.isdisjoint(keys)
-        # known furniture outweighs whatever holds it; weak evidence against does not outweigh strong evidence for
+            article = article or id(keys) in frame.own
+        # strong evidence against (furniture) outweighs whatever holds it; weak evidence does not outweigh strong evidence for
         return bad if bad <= -3.0 or good + bad < 0 else max(good + bad, 0.1)
 
     def extract(self, page: str) -> str:
         score, kept = [], []
-        for kind, what, around in parse(page):
-            marked = any(not ARTICLE.isdisjoint(k) for k in around)
+        items = parse(page)
+        frame = frame_of(items)
+        for kind, what, around in items:
+            marked = frame.article(around) >= 0
             if kind == "tag":
                 score.append(-0.05 if marked else self.tags.get(what, -0.5))
                 kept.append(None)
             else:
-                w = self.word_weight(around)
+                w = self.word_weight(around, frame)
                 # furniture between parts of the text goes, but its length does not cut the text in two: inside a marked
                 # article it costs nothing, elsewhere little
                 score.append((w if w > 0 else 0.0 if marked else 0.25 * w) * (what.count(" ") + 1))
@@ -226,8 +294,6 @@ def fit_regions(pages: DataFrame, max_train_pages: int = 2_000, max_keys: int =
             if key in ("html", "body") or abs(w - math.log(a0 / b0)) < 0.2:
                 continue
             model.words[key] = max(-6.0, min(4.0, w))
-    for key in FURNITURE:
-        model.words[key] = min(model.words.get(key, -4.0), -3.0)
     for key in ARTICLE:
         model.words[key] = max(model.words.get(key, 3.0), 3.0)
     return model

@@ -54,6 +54,34 @@ def test_known_pages(model, page, text):
     assert model.extract(page or "") == text
 
 
+REST = "<div class='ad'>Buy this now</div><article><h1>T</h1><p>One two three.</p></article><div class='footer'>All rights</div>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<html class='has-sidebar'><body class='no-sidebar comments-open'>{REST}</body></html>", "T\nOne two three."),
+    ("<body class='menu'><div class='nav'>Home</div><div id='content'><p>One two three.</p></div></body>", "One two three."),
+    (f"<body><form id='aspnetForm'><div id='header'>Site</div>{REST}</form></body>", "T\nOne two three."),
+    ("<form id='aspnetForm'><ul class='menu'><li>Home</li></ul><div id='content'><p>One two three four.</p></div></form>", "One two three four."),
+    ("<nav>Home</nav><article class='post share'><p>One two.</p><div class='share'>Tweet this</div></article>", "One two."),
+    ("<article><h2 id='toc_1'>First</h2><p>One.</p><h2 id='related-work'>Next</h2><p>Two.</p></article>", "First\nOne.\nNext\nTwo."),
+    (f"<div class='layout-sidebar'>{REST}</div>", "T\nOne two three."),
+    ("<div class='with-sidebar'><div class='content'><p>One two three.</p></div><div class='sidebar'>Links</div></div>", "One two three."),
+    ("<article class='post share'><p>One.</p></article><div id='comments'><article class='comment'><p>A long comment on all of it.</p></article></div>", "One."),
+    ("<div id='content'><p>One two three.</p></div><aside><article><p>A teaser of another page, of more words.</p></article></aside>", "One two three."),
+    ("<div class='main-menu'>Home</div><div role='main' class='sidebar-left'><p>One two three.</p></div>", "One two three."),
+])
+def test_names_of_the_frame(model, page, text):
+    assert model.extract(page) == text
+
+
+def test_labelled_pages_outweigh_the_prior(spark):
+    page = "<div class='widget'><h3>More</h3></div><div class='banner'><article><p>{0}</p></article></div><div class='plain'>{1}</div>"
+    pages = spark.createDataFrame([(i, f"u{i}", page.format("word " * 50 + str(i), "other " * 9)) for i in range(40)], PAGE)
+    fitted = html_main.fit_regions(pages)
+    assert fitted.words["banner"] > 0 > fitted.words["widget"]
+    assert fitted.extract("<div class='banner'><p>One two three.</p></div><div class='widget'>Links</div>") == "One two three."
+
+
 def test_pages_with_defined_cases(spark, model):
     rows = [(1, None, None), (None, "u", "<p>a</p>"), (1, None, None), (2, "v", "<article>" + "<p>w</p>" * 30_000)]
     pages = spark.createDataFrame(rows, PAGE).withColumns({"text": F.lit("z"), "n_chars": F.lit(1)})
