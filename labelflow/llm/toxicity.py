@@ -2,7 +2,8 @@
 
 Weights: for every word, and every beginning of four to eight letters (inflected forms share it), the log-odds of its
 document frequency among toxic against other labelled texts, under a Dirichlet prior in proportion to its frequency
-overall; of copies and most near copies one is counted. Units whose log-odds lie within a few standard deviations of
+overall. Of copies (equal shingle sets) with one label one text is counted; near copies of one label share the weight of one
+text; all others count in full, whatever passages they share. Units whose log-odds lie within a few standard deviations of
 zero, or are small, are left out. A word weighs as its most significant unit; without one it is neutral, a penalty
 large enough that the expected score of clean text is negative. Texts are
 scanned in linear time for all maximal scoring segments (Ruzzo and Tompa). Segment scores are calibrated by extreme
@@ -27,13 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm.common import stored
-from labelflow.llm.near_dup import shingle_set
+from labelflow.llm.near_dup import minhash, permutations, shingle_set
 from labelflow.llm.quality import labelled_sample
-from labelflow.llm.words import WordHash
+from labelflow.llm.words import WordHash, mix
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: score of a word without significant log-odds, at most (clean text with many weighted words needs a lower one)
 NEUTRAL = -0.05
+#: minima of a training text's signature (in bands), the share of equal ones that makes two texts near copies, and the integer
+#: that stands for the weight of one text (sums of integers do not depend on their order)
+BANDS, BAND, NEAR, ONE = 32, 8, 0.8, 1 << 20
 
 
 def units_of(word: str) -> list[str]:
@@ -128,14 +132,15 @@ def solve_lambda(p: np.ndarray, s: np.ndarray) -> float:
     return lo
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> tuple[float, ...]:
-    """Newton steps for a penalised logistic function; slopes are not negative."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, weight: np.ndarray | None = None) -> tuple[float, ...]:
+    """Newton steps for a penalised logistic function of weighted rows; slopes are not negative."""
+    weight = np.ones(len(x)) if weight is None else weight
     z = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(z.shape[1])
     pen = np.array([1e-4] + [l2] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pen), z.T @ (y - p) - pen * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(pen), z.T @ (weight * (y - p)) - pen * w)
         w = w + np.clip(step, -2, 2)
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-8:
@@ -147,37 +152,84 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def near_copy_weights(sig: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weight (of ONE) of each training text, by its signature and label: texts of a label that share a band are compared
+    with the first of them, and those of at least NEAR equal minima form a group, which weighs as one text."""
+    if not len(sig):
+        return np.empty(0, np.int64)
+    root = np.arange(len(sig))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for lo in range(0, BANDS * BAND, BAND):
+        band = np.ascontiguousarray(sig[:, lo: lo + BAND]).view(f"V{BAND * sig.itemsize}").ravel()
+        _, which = np.unique(band, return_inverse=True)
+        key = which * 2 + y
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        i, h = order[~new], head[~new]
+        for at in range(0, len(i), 4096):
+            near = (sig[i[at: at + 4096]] == sig[h[at: at + 4096]]).mean(axis=1) >= NEAR
+            for a, b in zip(i[at: at + 4096][near].tolist(), h[at: at + 4096][near].tolist()):
+                a, b = sorted((find(a), find(b)))
+                root[b] = a
+    group = np.array([find(i) for i in range(len(sig))], np.int64)
+    return ONE // np.bincount(group)[group]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_scale: float = 0.9, min_log_odds: float = 1.5, max_units: int = 200_000) -> ToxicityModel:
     """The model of the labelled rows that are not held out. Of the units of that bounded sample, those with
     significant log-odds come to the driver (the max_units strongest)."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        perm = permutations(BANDS, BAND)
         table = WordHash()
         for b in batches:
-            firsts = [int(s[0]) >> 1 if len(s := shingle_set(t.as_py() or "", table, 5)) else 0 for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, pa.int64())], names=["text", "y", "first"])
+            node, sig = [], []
+            for t in b.column(0):
+                s = shingle_set(t.as_py() or "", table, 5)
+                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1)
+                sig.append((mix(minhash(s, *perm).astype(np.uint64)) >> np.uint64(48)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["text", "y", "node", "sig"])
 
     sample = labelled_sample(docs, labels.where(~is_held_out(F.col("doc_id"))), "toxic", max_train_rows).select("text", "y")
-    # copies share their smallest shingle hash, and near copies mostly do: the words of a text that was copied
-    # often would look significant. The text is kept with the smallest of these rows
-    train = stored(sample.mapInArrow(mark, "text string, y int, first bigint").groupBy("first").agg(F.min(F.struct("text", "y")).alias("r"))
-                   .select("r.text", "r.y"), "toxicity-train")
+    # the words of a text that was copied often would look significant: of copies with one label the smallest is counted
+    once = stored(sample.mapInArrow(mark, "text string, y int, node bigint, sig binary").groupBy("node", "y").agg(F.min(F.struct("text", "sig")).alias("r"))
+                  .select("r.text", "y", "node", "r.sig"), "toxicity-train")
+    # the signatures of the bounded sample: half a kilobyte a text
+    marked = once.select("node", "y", "sig").orderBy("y", "node").toPandas()
+    y = marked["y"].to_numpy(np.int64)
+    weight = near_copy_weights(np.frombuffer(b"".join(map(bytes, marked["sig"])), "<u2").reshape(-1, BANDS * BAND), y)
+    shared = {(int(k), int(v)): int(w) for k, v, w in zip(marked["node"], y, weight) if w != ONE}
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = [shared.get(k, ONE) for k in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.int64())], names=["text", "y", "w"])
+
+    train = once.select("text", "y", "node").mapInArrow(weigh, "text string, y int, w bigint")
+    n1, n0 = (float(weight[y == v].sum()) / ONE for v in (1, 0))
+    if not n1 or not n0:
+        return ToxicityModel()
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                unit, y = [], []
-                for t, v in zip(b.column(0).slice(lo, 64), b.column(1).slice(lo, 64).to_pylist()):
-                    seen = {u for w in set(tokens_of(t.as_py() or "")) for u in units_of(w)}
+                unit, a, b0 = [], [], []
+                for t, v, w in zip(b.column(0).slice(lo, 64), b.column(1).slice(lo, 64).to_pylist(), b.column(2).slice(lo, 64).to_pylist()):
+                    seen = {u for x in set(tokens_of(t.as_py() or "")) for u in units_of(x)}
                     unit += seen
-                    y += [v] * len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.string()), pa.array(y, pa.int32())], names=["unit", "y"])
+                    a += [w * v] * len(seen)
+                    b0 += [w * (1 - v)] * len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.string()), pa.array(a, pa.int64()), pa.array(b0, pa.int64())], names=["unit", "a", "b"])
 
-    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return ToxicityModel()
-    freq = (train.select("text", "y").mapInArrow(units, "unit string, y int").groupBy("unit")
-            .agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b")))
+    freq = (train.mapInArrow(units, "unit string, a bigint, b bigint").groupBy("unit")
+            .agg((F.sum("a") / ONE).alias("a"), (F.sum("b") / ONE).alias("b")))
     # the largest of n standard normal scores is about sqrt(2 log n): more texts need stronger evidence
     z_min = z_scale * float(np.sqrt(2 * np.log(max(n1 + n0, 2))))
     # Dirichlet prior: `prior` pseudo-documents that hold each unit at its frequency overall
@@ -192,12 +244,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = np.array([v for t in batch.column(0) for v in map(model.weights.__getitem__, tokens_of(t.as_py() or ""))])
-            s, many = np.unique(w, return_counts=True)
+            words = [list(map(model.weights.__getitem__, tokens_of(t.as_py() or ""))) for t in batch.column(0)]
+            s, which = np.unique(np.array([v for x in words for v in x], np.float64), return_inverse=True)
+            many = np.bincount(which, np.repeat(batch.column(1).to_numpy(), list(map(len, words))), len(s))
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(many.astype(np.int64))], names=["s", "n"])
 
     # how often clean text has each weight: at most one row per unit
-    back = train.where("y = 0").select("text").mapInArrow(background, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
+    back = train.where("y = 0").select("text", "w").mapInArrow(background, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
     s, p = back["s"].to_numpy(float), back["n"].to_numpy(float)
     p = p / p.sum()
     weighted = s != 0
@@ -208,10 +261,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [model.features(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1)], names=["best", "total", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1), batch.column(2)], names=["best", "total", "y", "w"])
 
-    x = train.select("text", "y").mapInArrow(features, "best double, total double, y int").orderBy("best", "total", "y").toPandas()
-    model.coef = logistic(x[["best", "total"]].to_numpy(float), x["y"].to_numpy(float))
+    x = train.mapInArrow(features, "best double, total double, y int, w bigint").toPandas().sort_values(["best", "total", "y", "w"])
+    model.coef = logistic(x[["best", "total"]].to_numpy(float), x["y"].to_numpy(float), weight=x["w"].to_numpy(float) / ONE)
     return model
 
 

@@ -172,6 +172,50 @@ def test_held_out_labels_are_not_used(planted, spark):
     assert a.weights.units == b.weights.units and a.coef == b.coef
 
 
+def unheld(n):
+    """The first n identifiers that are trained on."""
+    return [i for i in range(4 * n) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+
+
+def test_texts_with_a_shared_passage_all_count(planted, spark):
+    rows, truth, docs, labels = planted
+    from pyspark.sql import functions as F
+    passage = " ".join(f"licence{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    ids = set(unheld(600)[::2])
+    long = spark.createDataFrame([(i, f"{t} {passage}" if i in ids else t, None, None, None) for i, t, *_ in rows], docs.schema)
+    a, b = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(long, labels)
+    weights = lambda m: {u: v for u, v in m.weights.units.items() if not u.startswith("lice")}
+    assert weights(a) == weights(b) and {"zorkish", "vexel"} <= set(weights(b))
+    held = [r for r in toxicity.score_documents(long, b).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_copies_count_once_per_label(planted, spark):
+    rows, truth, docs, labels = planted
+    more, marks = [], []
+    for k, i in enumerate(unheld(3000)[-200:]):
+        more.append((i, rows[0][1] if k % 2 else rows[1][1], None, None, None))
+        marks.append((i, 1, truth[0] if k % 2 else truth[1]))
+    assert truth[0] != truth[1] and {0, 1} <= set(unheld(3))
+    a = toxicity.fit_toxicity(docs, labels)
+    b = toxicity.fit_toxicity(docs.unionByName(spark.createDataFrame(more, docs.schema)), labels.unionByName(spark.createDataFrame(marks, labels.schema)))
+    assert a.weights.units == b.weights.units and a.coef == b.coef
+
+
+def test_near_copies_share_a_weight():
+    rng = np.random.default_rng(16)
+    sig = rng.integers(0, 1 << 16, (40, toxicity.BANDS * toxicity.BAND)).astype("<u2")
+    sig[1:5] = sig[0]
+    sig[1:5, :20] = rng.integers(0, 1 << 16, (4, 20))  # near copies
+    sig[6:10, :80] = sig[5, :80]  # a shared passage
+    y = np.zeros(40, np.int64)
+    y[4] = 1
+    want = np.full(40, toxicity.ONE)
+    want[:4] = toxicity.ONE // 4
+    assert (toxicity.near_copy_weights(sig, y) == want).all()
+    assert len(toxicity.near_copy_weights(sig[:0], y[:0])) == 0
+
+
 def test_without_labels_nothing_is_toxic(docs, spark):
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert {r.score < 1e-9 for r in toxicity.score_documents(docs, model).collect()} == {True}
