@@ -107,7 +107,7 @@ def predict_wide(profile: DataFrame, query_seqs: DataFrame, window: int = WINDOW
 def score_rows(models: dict[str, ProfileModel], query_seqs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (),
                seq: str = "sequence_align") -> DataFrame:
     """(header, *keep, p_<method><suffix> array<double> over that model's classes) per row, for every model by suffix, in
-    one pass over the rows."""
+    one pass over the rows. A sequence of more than `window` sites is an error."""
     names = ("header",) + tuple(keep)
     methods = [(name, m, suffix, model) for suffix, model in models.items() for name, _, m in PREDICTORS]
 
@@ -116,7 +116,9 @@ def score_rows(models: dict[str, ProfileModel], query_seqs: DataFrame, window: i
         for batch in batches:
             probs = [[] for _ in methods]
             for lo in range(0, batch.num_rows, 1024):
-                texts = [(t or "")[:window].ljust(window, "\0") for t in batch.column(0).slice(lo, 1024).to_pylist()]
+                texts = [(t or "").ljust(window, "\0") for t in batch.column(0).slice(lo, 1024).to_pylist()]
+                if (longest := max(map(len, texts), default=0)) > window:
+                    raise ValueError(f"sequence of {longest} sites, the profile has {window}")
                 raw = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8).reshape(len(texts), window)
                 codes = _LUT[raw]
                 for parts, (name, m, _, model) in zip(probs, methods):

@@ -85,3 +85,32 @@ def test_annotate_files_writes_archive_and_labels(spark, tmpdir_path):
     assert {r.header: r.label for r in arch} == {"q1": "x", "q2": "y"} and all(abs(sum(r.probs) - 1) < 1e-6 for r in arch)
     csv = spark.read.option("header", True).csv(out + "/labels_csv")
     assert {r.header: r.label for r in csv.collect()} == {"q1": "x", "q2": "y"}
+
+
+def test_annotate_files_uses_the_whole_alignment(spark, tmpdir_path):
+    from labelflow.operators.classify import annotate_files
+    train, query = os.path.join(tmpdir_path, "train.csv"), os.path.join(tmpdir_path, "q.fasta")
+    x, y = "A" * 64 + "CCCCCC", "A" * 64 + "DDDDDD"  # alike up to site 64
+    with open(train, "w") as f:
+        f.write("header,sequence,sequence_align,label\n" + "".join(f"t{i},{s},{s},{c}\n" for i, (s, c) in enumerate([(x, "x"), (y, "y")] * 10)))
+    with open(query, "w") as f:
+        f.write(f">q1\n{x}\n>q2\n{y}\n>q3\n{y[:67]}\n")
+    got = {r.header: (r.label, r.p) for r in annotate_files(spark, train, query, os.path.join(tmpdir_path, "out"), "D", 0.4, 20).collect()}
+    assert {h: c for h, (c, _) in got.items()} == {"q1": "x", "q2": "y", "q3": "y"} and got["q1"][1] > 0.6 and got["q2"][1] > 0.6
+    with open(query, "a") as f:
+        f.write(f">q4\n{x}A\n")
+    with pytest.raises(ValueError, match="71 sites"):
+        annotate_files(spark, train, query, os.path.join(tmpdir_path, "none"), "D", 0.4, 20)
+    assert not os.path.exists(os.path.join(tmpdir_path, "none"))
+
+
+def test_longer_sequences_are_not_cut(spark):
+    from labelflow.operators import classify, profile, rbm
+    import numpy as np
+    q = spark.createDataFrame([("h", "ACDEF")], "header string, sequence_align string")
+    w = spark.createDataFrame([(0, i, "A", 0.5) for i in range(1, 5)], "h int, pos int, aa string, w double")
+    b = spark.createDataFrame([(0, 0.0)], "h int, b double")
+    model = profile.ProfileModel(["x"], np.ones(1), {n: np.ones((4, 22, 1)) for n, _, _ in profile.PREDICTORS})
+    for rows in (classify.onehot_features(q, L=4), profile.score_rows({"": model}, q, 4), rbm.hidden_vectors(q, w, b)):
+        with pytest.raises(Exception, match="sequence of 5 sites"):
+            rows.collect()
