@@ -211,10 +211,11 @@ def _verify(n: int, num: int, den: int):
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), n: int = 5, recall: float = 0.999) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of the text), class_id (smallest doc_id of its class), n_links (other
-    documents of at least this similarity), n_text_links (other texts of that kind), n_shingles."""
+    documents of at least this similarity), n_text_links (other texts of that kind), n_shingles, first (whether (doc_id,
+    row) is the smallest of its class, null identifiers last)."""
     sig = stored(signatures(docs, n), "near-dup-signatures")
     one = sig.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "row")).alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     texts = stored(one, "near-dup-texts")
     clusters = components(candidate_links(texts, prefix_depth(threshold, recall)))
     members = stored(clusters.join(texts.select("node", "rep", "copies", "n_shingles"), "node"), "near-dup-members")
@@ -234,20 +235,21 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), n: in
     # a cluster of one group has its classes; those of several groups are joined over their links
     joined = components(found.where("split").select(F.col("node").alias("u"), F.col("head").alias("v")))
     heads = found.where("not split").select("node", F.col("head").alias("comp")).unionByName(joined)
-    least = heads.join(texts.select("node", "least"), "node")
-    class_of = least.groupBy("comp").agg(F.min("least").alias("class_id"))
+    class_of = heads.join(texts.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("first"))
     counts = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    linked = heads.join(class_of, "comp").join(counts, "node").select("node", "class_id", "n_texts", "n_docs")
-    per_text = texts.select("node", "least", "copies").join(linked, "node", "left").select(
-        "node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"))
+    linked = heads.join(class_of, "comp").join(counts, "node").select("node", "first", "n_texts", "n_docs")
+    per_text = texts.select("node", "rep", "copies").join(linked, "node", "left").select(
+        "node", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"))
     return (sig.select("doc_id", "row", "node", "n_shingles").join(per_text, "node", "left")
-            .select("doc_id", "row", F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("class_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"), "n_shingles"))
+            .select("doc_id", "row", F.coalesce("first.doc_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("class_id"),
+                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"), "n_shingles",
+                    (F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))).alias("first")))
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose identifier is that of their class, all columns (wholly equal rows stay together)."""
+    """The document of each class with the smallest (doc_id, hash of the text), null identifiers last, all columns (rows equal
+    in both stay together; texts without a shingle all stay)."""
     mine, doc, row = unused(docs, "own row"), unused(docs, "kept doc"), unused(docs, "kept row")
-    stay = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
+    stay = near_duplicates(docs, **options).where("first").select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
     keyed = docs.withColumn(mine, F.xxhash64(text_or_empty()))
     return keyed.join(stay.hint("shuffle_hash"), (F.col(mine) == F.col(row)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)), "left_semi").drop(mine)

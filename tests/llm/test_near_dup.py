@@ -130,6 +130,20 @@ def test_keep_one_per_class(rows, clashing, no_docs):
     assert near_dup.keep_one_per_class(no_docs).collect() == []
 
 
+def test_one_of_each_class_stays(spark):
+    rng = random.Random(17)
+    near = lambda t, k: " ".join([*t.split(" ")[:-1], f"end{k}"])
+    a, b, c, d = (words(rng, 100, 100_000) for _ in range(4))
+    rows = [(i, t, None, None, None) for i, t in [
+        (None, a), (None, near(a, 1)), (None, near(a, 2)),  # no identifier at all
+        (3, b), (3, near(b, 1)), (9, near(b, 2)), (None, near(b, 3)),  # the smallest identifier twice
+        (5, c), (None, near(c, 1)), (5, d), (None, None), (None, None)]]
+    left = sorted((r.text or "" for r in near_dup.keep_one_per_class(spark.createDataFrame(rows, DOC)).select("text").collect()))
+    of = lambda t: [x for x in left if x[:60] == t[:60]]
+    assert len(of(a)) == len(of(b)) == 1 and of(c) == [c] and of(d) == [d] and len(left) == 6
+    assert of(b)[0] in (b, near(b, 1))
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1700)] + [(5000 + i, 5001 + i) for i in range(200)] + [(9000, 9001 + i) for i in range(500)] + [(7, 7)]
