@@ -3,8 +3,9 @@
 Each task writes the records of its pages into an archive file of its own, one gzip member per record, and returns
 its captures as a run, sorted by (URL key, timestamp). The runs are range-partitioned by that key, so a host or URL with
 many captures spans several partitions, and each partition merges its runs with a loser tree: one comparison per
-level and record. The merged partitions in order are the globally sorted capture history. Reading back streams every
-file record by record.
+level and record. The merged partitions are written as the index: the globally sorted capture history, with a record's
+position in it and its capture number under its URL key, both carried over partition edges. Archives are read back through
+the index, each file once and in order; bytes that the index doesn't name are an error.
 
 The archive folder has to be reachable by all executors under the same address (a shared mount, or any store that
 pyarrow's file systems open). Files are named anew by every attempt; only those that the index names count.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from labelflow.llm.common import scratch, stored
 
 RUN_DDL = "run string, seq bigint, url_key string, timestamp string, page_id bigint, record_type string, digest string, offset bigint, length bigint"
+HISTORY_DDL = RUN_DDL + ", part int, place bigint, capture bigint"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 MASK = (1 << 64) - 1
 
@@ -164,9 +166,12 @@ class LoserTree:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The capture history in global order: partitions follow each other by (URL key, timestamp), rows within them too.
-    capture counts a URL key's captures within its partition's part of the history."""
+    part is the partition, place the row's place in it; capture counts a URL key's captures within the partition."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, place, capture, last = TaskContext.get().partitionId(), 0, 0, None
         parts: dict[str, list] = {}
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
@@ -178,21 +183,43 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             if any(x[1] > y[1] for x, y in zip(parts[name], parts[name][1:])):
                 parts[name].sort(key=lambda r: r[1])
         tree, got = LoserTree([[(r[2], r[3]) for r in parts[n]] for n in names]), []
-        schema = None
         for w, i, _ in tree:
-            got.append(parts[names[w]][i])
+            r = parts[names[w]][i]
+            capture, last = capture + 1 if r[2] == last else 1, r[2]
+            got.append((*r, pid, place, capture))
+            place += 1
             if len(got) == 8192:
                 yield _batch(got)
                 got = []
         if got:
             yield _batch(got)
 
-    return runs.repartitionByRange("url_key", "timestamp", "run", "seq").mapInArrow(merge, RUN_DDL)
+    return runs.repartitionByRange("url_key", "timestamp", "run", "seq").mapInArrow(merge, HISTORY_DDL)
+
+
+def capture_index(runs: DataFrame) -> DataFrame:
+    """The written index: a row per record with its position in the global history (from 0) and the number of its capture
+    among those of its URL key (from 1)."""
+    spark = runs.sparkSession
+    merged = stored(merge_runs(runs), "warc-index")
+    edges = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min_by("url_key", "place").alias("first"), F.max_by("url_key", "place").alias("last"),
+                                       F.max_by("capture", "place").alias("n_last")).orderBy("part").collect()
+    # a row per partition: what its first URL key had before, and how many rows
+    carry, before, key, total = [], 0, None, 0
+    for e in edges:
+        had = total if e["first"] == key else 0
+        carry.append((e["part"], e["first"], had, before))
+        before += e["n"]
+        key, total = e["last"], e["n_last"] + (had if e["first"] == e["last"] else 0)
+    at = spark.createDataFrame(carry, "part int, first_key string, had bigint, before bigint")
+    return merged.join(F.broadcast(at), "part").select(
+        "run", "seq", "url_key", "timestamp", "page_id", "record_type", "digest", "offset", "length", (F.col("before") + F.col("place")).alias("position"),
+        (F.col("capture") + F.when(F.col("url_key") == F.col("first_key"), F.col("had")).otherwise(0)).alias("capture"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    names = ["run", "seq", "url_key", "timestamp", "page_id", "record_type", "digest", "offset", "length"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["run", "seq", "url_key", "timestamp", "page_id", "record_type", "digest", "offset", "length", "part", "place", "capture"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -233,34 +260,51 @@ def read_members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
         at += used
 
 
-def read_archives(runs: DataFrame, folder: str) -> DataFrame:
-    """Every record of the files that the runs name: run, offset, page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_archives(index: DataFrame, folder: str) -> DataFrame:
+    """Every record that the index (or the runs) names, read at its offset: run, offset, page_id, payload_bytes, payload_digest,
+    record_type, refers_to; and url_key, timestamp, the indexed type, and of an index position and capture."""
+    passed = ["url_key", "timestamp", "record_type", *(c for c in ("position", "capture") if c in index.columns)]
+    kinds = {"run": pa.string(), "offset": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    names = [*kinds, "url_key", "timestamp", "indexed_type", *passed[3:]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
-        kinds = {"run": pa.string(), "offset": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                rows = []
-                with files.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                    for at, raw in read_members(stream):
-                        rows.append({"run": name, "offset": at, **parse_record(raw)})
-                        del rows[-1]["payload"]
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
-
-    names = runs.select("run").distinct()
-    # the names are few and short, their files are not: deal one file to a task on average
-    return names.repartition(max(1, names.count()), "run").mapInArrow(read, "run string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+        name, stream, at = None, None, 0
+
+        def close():
+            if stream is not None:
+                with stream:
+                    if stream.read(1):
+                        raise ValueError(f"{name} has records that the index does not name")
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                b, rows = batch.slice(lo, 1024), []
+                for run, offset, length in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if run != name:
+                        close()
+                        name, stream, at = run, files.open_input_stream(f"{path}/{run}", compression=None, buffer_size=1 << 20), 0
+                    if offset != at:
+                        raise ValueError(f"{name} has bytes at {at} that the index does not name")
+                    z = zlib.decompressobj(31)
+                    raw = z.decompress(stream.read(length))
+                    if not z.eof or z.unused_data:
+                        raise ValueError(f"the record at {at} of {name} has not the indexed length")
+                    at += length
+                    rows.append({"run": run, "offset": offset, **parse_record(raw)})
+                    del rows[-1]["payload"]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in kinds.items()), *b.columns[3:]], names=names)
+        close()
+
+    # the runs are few: deal one file to a task on average, its records in order
+    n = max(1, index.select("run").distinct().count())
+    rows = index.select("run", "offset", "length", *passed).repartition(n, "run").sortWithinPartitions("run", "offset")
+    return rows.mapInArrow(read, "run string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
+                                 "url_key string, timestamp string, indexed_type string" + "".join(f", {c} bigint" for c in passed[3:]))
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write, merge the index, read back: one row per record with its place in the index."""
+    """Write, merge the index, read back through it: one row per record with its position in the capture history and its capture
+    number."""
     folder = folder or scratch(pages.sparkSession, "warc")
-    runs = write_archives(pages, folder)
-    history = merge_runs(runs).select("run", "offset", "url_key", "timestamp", F.col("record_type").alias("indexed_type"))
-    # both sides have a row per record, which the planner can't see behind the few names: no broadcast
-    return read_archives(runs, folder).hint("merge").join(history.hint("merge"), ["run", "offset"])
+    return read_archives(capture_index(write_archives(pages, folder)), folder)

@@ -165,6 +165,27 @@ def test_history_is_in_global_order(spark):
     assert len(got) == 2000 and got == sorted(got)
 
 
+def test_captures_are_numbered_over_partition_edges(spark, tmpdir_path):
+    rng = random.Random(18)
+    rows = [(i, "http://hot.example.com/" if i % 3 else f"http://h{rng.randrange(40)}.net/", f"p{i}") for i in rng.sample(range(600), 600)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        runs = warc.write_archives(spark.createDataFrame(rows, PAGE).repartition(7), tmpdir_path)
+        index = warc.capture_index(runs)
+        got = warc.read_archives(index, tmpdir_path).orderBy("position").collect()
+        spans = warc.merge_runs(runs).where("url_key = 'com,example,hot)/'").select("part").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert spans > 2 and [r.position for r in got] == list(range(600))
+    seen, want = {}, []
+    for i, u, _ in sorted(rows, key=lambda r: (warc.url_key(r[1]), r[0])):
+        seen[u] = seen.get(u, 0) + 1
+        want.append((warc.url_key(u), i, seen[u]))
+    assert [(r.url_key, r.page_id, r.capture) for r in got] == want
+    with pytest.raises(Exception, match="does not name"):
+        warc.read_archives(index.where("position <> 300"), tmpdir_path).collect()
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = random.Random(k)
