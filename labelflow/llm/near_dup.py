@@ -1,10 +1,10 @@
-"""N-gram Jaccard join through a MinHash LSH forest, followed by exact verification.
+"""N-gram Jaccard join through MinHash banding, followed by exact verification.
 
 1. Each text becomes its set of word shingles; equal sets are one text (node) from here on, so copies cost nothing.
    Its signature is cut into labels, one per tree, of `depth` 16-bit values.
-2. Every tree is a sorted prefix trie: the labels are range-partitioned and sorted by (tree, label), and a linear scan
-   reads the common prefix of neighbours. The matched prefix starts at the full depth and is shortened until pairs at
-   the threshold meet with the target recall in some tree. Each run of equal prefixes gives a star of links to its
+2. The labels are range-partitioned and sorted by (tree, label), and a linear scan compares a prefix of fixed depth with
+   the label before it: the longest depth at which pairs at the threshold meet with the target recall in some tree, by
+   formula and not by the data. Each run of equal prefixes gives a star of links to its
    first label; runs that cross a partition's edge are joined by one link per edge.
 3. Connected nodes of these links form candidate clusters. A cluster's texts are dealt to blocks of bounded size, and
    each pair of blocks is one group, in which all pairs are compared exactly: shingles with the same holders are one
