@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from labelflow.llm import exact_dedup, html_main, line_dedup, near_dup, packing, pieces, quality, sharding, toxicity, warc
+from labelflow.llm import exact_dedup, html_main, line_dedup, near_dup, packing, pieces, quality, resampling, sharding, token_files, toxicity, warc, whitening
 from labelflow.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -124,3 +124,48 @@ def op9(spark, sf_dir):
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+@query("op11_direct_access_codes")
+def op11(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), token_files.JsonTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), end_id=0)
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB has no CRC: it is linear, so a feature's CRC is the XOR of what each byte contributes at its distance from the end
+#: (contrib, from the byte table by one step per zero byte behind it) and the CRC of as many zero bytes (zeros)
+OP13_SQL = r"""
+with recursive texts as (select true as doc, doc_id as id, text from documents union all select false, item_id, text from benchmark),
+w as (select doc, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as (select doc, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+        || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as f from w),
+c as (select doc, id, f, count(*) as n from f group by all),
+bytes as materialized (select f, hex(encode(f)) as h, strlen(f) as len from (select distinct f from c)),
+step as (select i as b, list_reduce(list_prepend(i, range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as t from range(256) r(i)),
+contrib as (select 0 as k, b, t from step union all
+            select k + 1, c.b, xor(c.t >> 8, s.t) from contrib c join step s on s.b = c.t & 255 where k < (select max(len) from bytes)),
+zeros as (select 0 as len, cast(4294967295 as bigint) as z union all
+          select len + 1, xor(z >> 8, s.t) from zeros join step s on s.b = z & 255 where len < (select max(len) from bytes)),
+spread as (select f, len, unnest(range(len)) as i, h from bytes),
+crc as (select f, xor(xor(bit_xor(t), any_value(z)), 4294967295) as crc from (select f, len, len - 1 - i as k, cast('0x' || substr(h, 2 * i + 1, 2) as bigint) as b from spread)
+        join contrib using (k, b) join zeros using (len) group by f),
+b as (select doc, id, crc % 10000 as bucket, n from c join crc using (f)),
+s as (select bucket, sum(n) filter (doc) as s, sum(n) filter (not doc) as t from b group by bucket),
+g as (select bucket, cast(floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select sum(s) from s) + 10000)::double)
+        / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from s) + 10000)::double))) as bigint) as gain from s),
+weights as (select id, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as weight from b join g using (bucket) where doc group by id),
+d as (select doc_id, len(w.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+      from documents join w on w.doc and w.id = doc_id left join weights on weights.id = doc_id),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from d where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 5 * (select count(*) from r) // 100 then rank end as rank from d left join r using (doc_id)"""
+
+
+@query("op13_importance_resampling", OP13_SQL)
+def op13(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
