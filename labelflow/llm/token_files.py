@@ -22,6 +22,7 @@ own), never a partition.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -200,33 +201,79 @@ class JsonTokenizer:
     pattern: str
 
 
+#: code points that the narrow pattern covers: ASCII to IPA, most texts of European languages
+NARROW = 0x2B0
+
+
+def narrow_pattern(pattern: str) -> str:
+    """The pattern for texts below NARROW only, with its character properties written out, so that Python's own (several times
+    faster) re can run it: the members of each property are what the regex library finds there."""
+    import regex
+
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        if m := re.match(r"\\p\{\w+\}|\\[sS]", pattern[i:]):
+            name = m[0]
+            members = "".join(re.escape(chr(c)) for c in range(NARROW) if regex.match(name.lower() if name == "\\S" else name, chr(c)))
+            if name == "\\S" and inside:
+                raise ValueError("\\S inside of a class")
+            out.append(members if inside else f"[^{members}]" if name == "\\S" else f"[{members}]")
+        else:
+            m = re.match(r"\\.|.", pattern[i:], re.DOTALL)
+            inside = m[0] == "[" or inside and m[0] != "]"
+            out.append(m[0])
+        i += len(m[0])
+    return "".join(out)
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: bytes that print are themselves, the others
+    follow from U+0100."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class PreTokenTable:
-    """Ids of texts: the pattern cuts a text into pre-tokens, which the library merges each for itself, so each distinct one
-    is given to it once. Texts that hold the string of an added token are given to it whole."""
+    """Ids of texts: the pattern cuts a text into pre-tokens, which the library's model merges each for itself, so each distinct
+    one is given to it once. The table has two generations, so common pre-tokens outlive rare ones. Texts that hold the string
+    of an added token are given to the library whole."""
 
     def __init__(self, tokenizer: JsonTokenizer):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer.file)
+        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = regex.compile(tokenizer.pattern).findall
+        self.cut_narrow = re.compile(narrow_pattern(tokenizer.pattern)).findall
+        self.wide = re.compile(f"[^\\x00-{chr(NARROW - 1)}]").search
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def merge(self, pre_token: str) -> bytes:
+        found = self.before.get(pre_token)
+        if found is None:
+            spelled = pre_token.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [any(a in t for a in self.added) for t in texts]
-        cut = [[] if w else self.cut(t) for t, w in zip(texts, whole)]
-        if len(self.known) > TABLE_ROWS:
-            self.known.clear()
-        if new := list(set().union(*cut).difference(self.known)):
-            got = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            at = np.searchsorted(np.array(got.word_ids), np.arange(len(new) + 1)).tolist()
-            self.known.update((w, raw[4 * a: 4 * b]) for w, a, b in zip(new, at, at[1:]))
-        ids = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(ids, c))
-                for t, c, w in zip(texts, cut, whole)]
+        out = []
+        for t in texts:
+            if any(a in t for a in self.added):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            cut = self.cut(t) if self.wide(t) else self.cut_narrow(t)
+            if len(self.known) > TABLE_ROWS:
+                self.known, self.before = {}, self.known
+            for w in set(cut).difference(self.known):
+                self.known[w] = self.merge(w)
+            out.append(b"".join(map(self.known.__getitem__, cut)))
+        return out
 
 
 @lru_cache(maxsize=1)

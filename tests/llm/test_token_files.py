@@ -129,3 +129,13 @@ def test_a_hot_identifier_spans_partitions(spark, tmpdir_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(f.docs for f in files) < 1000 and sum(f.docs for f in files) == 3000
+
+
+def test_narrow_pattern_cuts_alike():
+    import re
+
+    import regex
+    wide, narrow = regex.compile(TOKENIZER.pattern), re.compile(T.narrow_pattern(TOKENIZER.pattern))
+    for c in map(chr, range(T.NARROW)):
+        for t in (f"a{c}1 {c} b", f"  {c}{c}\n{c}'s9", f"{c} "):
+            assert wide.findall(t) == narrow.findall(t), repr(t)
