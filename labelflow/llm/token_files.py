@@ -43,7 +43,7 @@ BLOCK = 512
 #: tokens after which a file is closed
 FILE_TOKENS = 1 << 24
 #: entries of a worker's table of encoded pre-tokens before it is emptied
-TABLE_ROWS = 200_000
+TABLE_ROWS = 500_000
 MANIFEST_DDL = "part int, file int, name string, docs bigint, tokens bigint"
 
 
