@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelflow.constants import TARGETS_PER_LABEL
 from labelflow.functions.residues import strip_gaps
 from labelflow.operators import sampling as S
+from labelflow.operators import pairstats as P
 from labelflow.operators import sitestats as T
 from labelflow.operators.common import out
 from labelflow.plans.fixtures import seq_table
@@ -18,10 +19,9 @@ GEN_SEED = 11
 
 def generate_from_profile(train, labels_df, k: int = TARGETS_PER_LABEL, seed: int = GEN_SEED):
     """K sequences per label from the labelled site profile; header gen_<i> in (label, idx) order."""
-    cdf = T.profile_cdf(train)
     targets = S.replicate_targets(labels_df, k).withColumn(
         "target_id", F.concat_ws(":", F.col("label"), F.col("target_idx").cast("string")))
-    g = T.sample_profile(cdf, targets, seed).join(targets.select("target_id", "target_idx"), "target_id")
+    g = T.draw_sequences(T.fit_site_models(train), targets, seed, keep=("target_idx",))
     g = S.sequence_ids(g, ["label", "target_idx"], name="header")
     return g.select("header", strip_gaps("sequence_align").alias("sequence"), "sequence_align", "label")
 
@@ -34,7 +34,7 @@ def q_site_frequencies(spark, sf_dir):
 
 @register("pair_frequencies", with_("fij") + "select grp, i, a, j, b, n from fij")
 def q_pair_frequencies(spark, sf_dir):
-    return T.pair_counts(seq_table(spark, sf_dir, with_split=False))
+    return P.pair_counts(seq_table(spark, sf_dir, with_split=False))
 
 
 @register("profile_generate", with_("gen") + "select header, sequence, sequence_align, label from gen")
@@ -57,5 +57,5 @@ def q_pair_correlation(spark, sf_dir):
     s = seq_table(spark, sf_dir)
     tr = s.where("is_train")
     gen = generate_from_profile(tr, tr.select("label"))
-    r = T.pair_correlation(s.select("label", "sequence_align"), gen.select("label", "sequence_align"))
+    r = P.pair_correlation(s.select("label", "sequence_align"), gen.select("label", "sequence_align"))
     return r.select("label", out("pearson", "pearson"))

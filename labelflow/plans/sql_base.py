@@ -87,13 +87,16 @@ VIEWS.update({
 VIEWS.update({
     "conf": (("best", "seqs"), """select b.method, b.header, b.label, b.p as prob, s.label as label_true, s.sequence_align,
         (b.label = s.label) as is_correct from best b join seqs s on b.header = s.header where round(b.p, 9) >= 0.8"""),
-    "seqid": (("seqs",), """select q.sequence_align, max((length(q.sequence_align) - hamming(q.sequence_align, t.sequence_align))
-          / length(q.sequence_align)) as seq_id_train
-        from (select distinct sequence_align from seqs where not is_train) q,
-             (select distinct sequence_align from seqs where is_train) t group by q.sequence_align"""),
+    "trd": (("seqs",), """select sequence_align, header, row_number() over (order by header) as rk from
+        (select sequence_align, min(header) as header from seqs where is_train group by sequence_align) z"""),
+    "seqid": (("seqs", "trd"), """select sequence_align, n / length(sequence_align) as seq_id_train, header as nearest from (
+        select sequence_align, best // 1000000000 as n, 1000000000 - best % 1000000000 as rk from (
+          select q.sequence_align, max((length(q.sequence_align) - hamming(q.sequence_align, t.sequence_align)) * 1000000000 + 1000000000 - t.rk) as best
+          from (select distinct sequence_align from seqs where not is_train) q, trd t group by q.sequence_align) y) x
+        join (select rk, header from trd) d using (rk)"""),
     "confid": (("conf", "seqid"), """select c.*, i.seq_id_train from conf c join seqid i on c.sequence_align = i.sequence_align"""),
     "allid": (("best", "seqs", "seqid"), """select b.method, b.header, b.label, b.p as prob, s.label as label_true, (b.label = s.label) as is_correct,
-        i.seq_id_train from best b join seqs s on b.header = s.header join seqid i on s.sequence_align = i.sequence_align"""),
+        i.seq_id_train, i.nearest from best b join seqs s on b.header = s.header join seqid i on s.sequence_align = i.sequence_align"""),
 })
 
 _A = "'-ACDEFGHIKLMNPQRSTVWY'"

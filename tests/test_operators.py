@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelflow.operators import augment as A
 from labelflow.operators import evaluate as V
 from labelflow.operators import identity as I
+from labelflow.operators import pairstats as P
 from labelflow.operators import sitestats as T
 from labelflow.operators.windows import consecutive_ids, running_agg, running_sums
 
@@ -80,20 +81,31 @@ def test_duplicate_headers_join_fan_out_and_last_wins(spark):
     assert lt == {"h1": "b", "h2": ""}
 
 
-def test_max_identity_matches_brute_force(spark):
-    rng = np.random.default_rng(0)
-    alpha = np.array(list("-ACDE"))
-    q = ["".join(rng.choice(alpha, 12)) for _ in range(40)]
-    t = ["".join(rng.choice(alpha, 12)) for _ in range(300)] + [q[0]] * 200  # a heavily duplicated train row
-    qdf = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(q)] + [("long", "A" * 300), ("none", None)], "header string, sequence_align string")
-    tdf = spark.createDataFrame([(s,) for s in t], "sequence_align string")
-    got = {r.header: r.seq_id_train for r in I.max_train_identity(qdf, tdf, q_group=7).collect()}
+@pytest.mark.parametrize("length, block", [(12, 4096), (70, 64)])
+def test_max_identity_matches_brute_force(spark, monkeypatch, length, block):
+    monkeypatch.setattr(I, "T_BLOCK", block)
+    rng = np.random.default_rng(length)
+    alpha = np.array(list("-ACDE" if length < 64 else "-ACDEFGHIKLMNPQRSTVWY"))
+    q = ["".join(rng.choice(alpha, length)) for _ in range(40)]
+    t = ["".join(rng.choice(alpha, length)) for _ in range(300)] + [q[0]] * 200  # a heavily duplicated train row
+    t += [q[1][:i] + "K" + q[1][i + 1:] for i in range(length)]  # many equally near ones
+    names = [f"t{i * 7919 % 1000:03d}" for i in range(len(t))]
+    qdf = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(q)] + [("long", "A" * 300), ("none", None), ("empty", "")], "header string, sequence_align string")
+    tdf = spark.createDataFrame(list(zip(names, t)) + [("x", ""), ("y", None)], "header string, sequence_align string")
+    got = {r.header: r for r in I.max_train_identity(qdf, tdf, q_group=7).collect()}
     for i, s in enumerate(q):
-        best = max(sum(a == b for a, b in zip(s, x)) for x in t) / 12
-        assert got[f"q{i}"] == pytest.approx(best)
-    assert got["long"] is None and got["none"] is None  # no training sequence of that length
+        best = min((-sum(a == b for a, b in zip(s, x)), h) for h, x in zip(names, t))
+        assert got[f"q{i}"].seq_id_train == pytest.approx(-best[0] / length) and got[f"q{i}"].nearest == best[1]
+    assert all(got[h].seq_id_train is None and got[h].nearest is None for h in ("long", "none", "empty"))  # no training sequence of that length
     none = I.max_train_identity(qdf, tdf.where("false")).collect()
-    assert len(none) == 42 and all(r.seq_id_train is None for r in none)
+    assert len(none) == 43 and all(r.seq_id_train is None and r.nearest is None for r in none)
+
+
+def test_identity_split(spark):
+    train = spark.createDataFrame([("t", "AAAAAAAAAA")], "header string, sequence_align string")
+    rows = [(f"q{i}", "A" * i + "C" * (10 - i)) for i in range(11)]
+    got = {r.header: r.t1s for r in I.identity_split(spark.createDataFrame(rows, "header string, sequence_align string"), train, (0.4, 0.7)).collect()}
+    assert got == {f"q{i}": [t for t in (0.4, 0.7) if i / 10 <= t] for i in range(11)}
 
 
 def test_bit_planes_count_any_symbol_and_length():
@@ -101,9 +113,11 @@ def test_bit_planes_count_any_symbol_and_length():
     for L in (1, 63, 64, 65, 300):
         q = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(9)]
         t = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(30)] + [q[4]]
-        best = np.full(len(q), -1, np.int32)
-        I.best_matches(I.pack_planes(q, L), I.pack_planes(t, L), L, best)
-        assert best.tolist() == [max(sum(a == b for a, b in zip(x, z)) for z in t) for x in q]
+        near = I.Nearest(q, L)
+        near.see(t[:20], [f"h{j:02d}" for j in range(20)])
+        near.see(t[20:], [f"h{j:02d}" for j in range(20, 31)])
+        best = [min((L - sum(a == b for a, b in zip(x, z)), f"h{j:02d}") for j, z in enumerate(t)) for x in q]
+        assert list(zip(near.wrong.tolist(), near.header)) == best
 
 
 def test_roc_of_a_class_without_positives_is_null_and_left_out(spark):
@@ -156,7 +170,7 @@ def test_masked_pool_and_hidden_means_against_loops(spark):
 def test_pair_counts_gram_equals_self_join(spark):
     rows = [("a", "AC-D"), ("a", "ACDD"), ("b", "CC-A"), ("b", "AC-D")]
     df = spark.createDataFrame(rows, "label string, sequence_align string")
-    got = {(r.grp, r.i, r.a, r.j, r.b): r.n for r in T.pair_counts(df, L=4).collect()}
+    got = {(r.grp, r.i, r.a, r.j, r.b): r.n for r in P.pair_counts(df, L=4).collect()}
     from labelflow.constants import ALPHABET
     exp = {}
     for lab, s in rows:
@@ -172,7 +186,7 @@ def test_pair_correlation_counts_zero_cells(spark):
     # identical sets correlate perfectly; fij = 0 cells with fi fj > 0 are included
     rows = [("a", "ACDE"), ("a", "CADE"), ("a", "ACED")]
     df = spark.createDataFrame(rows, "label string, sequence_align string")
-    r = {x.label: x.pearson for x in T.pair_correlation(df, df, L=4).collect()}
+    r = {x.label: x.pearson for x in P.pair_correlation(df, df, L=4).collect()}
     assert r["a"] == pytest.approx(1.0) and r["global"] == pytest.approx(1.0)
 
 
@@ -210,7 +224,7 @@ def test_factorised_pearson_matches_dense_brute_force(spark):
         exp[g] = np.corrcoef(dense_c(d), dense_c(m))[0, 1]
     dd = spark.createDataFrame(data, "label string, sequence_align string")
     mm = spark.createDataFrame(model, "label string, sequence_align string")
-    got = {r.label: r.pearson for r in T.pair_correlation(dd, mm, L=L).collect()}
+    got = {r.label: r.pearson for r in P.pair_correlation(dd, mm, L=L).collect()}
     for g, v in exp.items():
         assert got[g] == pytest.approx(v, abs=1e-9)
 
