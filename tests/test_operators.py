@@ -113,7 +113,7 @@ def test_bit_planes_count_any_symbol_and_length():
     for L in (1, 63, 64, 65, 300):
         q = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(9)]
         t = [bytes(rng.integers(33, 127, L, dtype=np.uint8)) for _ in range(30)] + [q[4]]
-        near = I.Nearest(q, L)
+        near = I.Nearest(q, L, I.symbol_codes({ord('x'): 3, 200: 1}))
         near.see(t[:20], [f"h{j:02d}" for j in range(20)])
         near.see(t[20:], [f"h{j:02d}" for j in range(20, 31)])
         best = [min((L - sum(a == b for a, b in zip(x, z)), f"h{j:02d}") for j, z in enumerate(t)) for x in q]
