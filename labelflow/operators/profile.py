@@ -36,6 +36,8 @@ PREDICTORS = (
     ("contrastive", "cast(floor((pos - 1) / 8) as int)", 8),
     ("foundation", "0", WINDOW),
 )
+#: bytes that all models of a grid may take: they are sent to every task
+MODEL_BYTES = 1 << 28
 _LUT = np.full(256, Q, dtype=np.int64)
 for _i, _ch in enumerate(ALPHABET):
     _LUT[ord(_ch)] = _i
@@ -138,6 +140,44 @@ def score_rows(models: dict[str, ProfileModel], query_seqs: DataFrame, window: i
     return query_seqs.select(F.col(seq).alias("_s"), *names).mapInArrow(run, schema)
 
 
+def best_by_model(models: dict[tuple[str, int], ProfileModel], rows: DataFrame, dataset: str, keep: tuple[str, ...] = (), window: int = WINDOW,
+                  seq: str = "sequence_align") -> DataFrame:
+    """(*keep, dataset, n_train, method, label): the label that every model of a row's dataset, one per training size, gives it, by every
+    method, in one pass over the rows; ties (after rounding) to the smaller label. Rows of datasets without a model are left out."""
+    size = sum(c.nbytes for m in models.values() for c in m.counts.values())
+    if size > MODEL_BYTES:
+        raise ValueError(f"{len(models)} models take {size} bytes, more than {MODEL_BYTES}")
+    sizes: dict[str, list[int]] = {}
+    for d, n in sorted(models):
+        sizes.setdefault(d, []).append(n)
+    names = [*keep, dataset, "n_train", "method", "label"]
+
+    def run(batches):
+        pos = np.arange(window)[None, :]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                sets = np.array(part.column(1).to_pylist(), object)
+                for d in sorted({x for x in sets if x in sizes}):
+                    mine = part.take(pa.array(np.flatnonzero(sets == d)))
+                    texts = [(t or "").ljust(window, "\0") for t in mine.column(0).to_pylist()]
+                    if (longest := max(map(len, texts))) > window:
+                        raise ValueError(f"sequence of {longest} sites, the profile has {window}")
+                    codes = _LUT[np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8).reshape(len(texts), window)]
+                    for n in sizes[d]:
+                        model = models[d, n]
+                        for method, _, m in PREDICTORS:
+                            e = (model.counts[method][pos, codes].sum(axis=1) / (model.n_seq * m * window)) ** 8
+                            total = e.sum(axis=1, keepdims=True)
+                            p = np.where(total > 0, e / np.where(total > 0, total, 1), 1 / len(model.labels))
+                            label = np.array(model.labels, object)[np.round(p, RANK_DIGITS).argmax(axis=1)]
+                            fixed = [pa.array([v] * len(texts), t) for v, t in ((n, pa.int32()), (method, pa.string()))]
+                            yield pa.RecordBatch.from_arrays([*mine.columns[2:], mine.column(1), *fixed, pa.array(label, pa.string())], names=names)
+
+    passed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keep, dataset))
+    return rows.select(F.col(seq).alias("_s"), dataset, *keep).mapInArrow(run, passed + ", n_train int, method string, label string")
+
+
 def long_preds(wide: DataFrame, labels: list[str], keep: tuple[str, ...] = ("header",)) -> DataFrame:
     """Wide probabilities -> preds(method, *keep, label, p), one row per class."""
     lab = F.array(*[F.lit(c) for c in labels])

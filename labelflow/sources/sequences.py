@@ -33,21 +33,22 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 SCAN_PARTITIONS = "spark.labelflow.scanPartitions"
 
 
-def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW, with_split: bool = True) -> DataFrame:
-    """seqs(header, sequence, sequence_align, label, is_train, doc_id, k); without the split column, `labels` is not read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+def seqs(spark: SparkSession, sf_dir: str, window: int = WINDOW, with_split: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """seqs(header, sequence, sequence_align, label, is_train, doc_id, k, *keep) with columns of the documents carried along; without the
+    split column, `labels` is not read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"), *keep)
     spread = spark.conf.get(SCAN_PARTITIONS, None)
     if spread:
         docs = docs.repartition(int(spread), "doc_id")
     header = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("header")
     cols = [header, strip_gaps("sequence_align").alias("sequence"), "sequence_align", "label"]
     if not with_split:
-        return windows(docs, window).select(*cols, "doc_id", F.col("k").cast("int").alias("k"))
+        return windows(docs, window).select(*cols, "doc_id", F.col("k").cast("int").alias("k"), *keep)
     # labelled documents; distinct guards against duplicate doc ids fanning out the join. Joined before the windows
     # are cut, so a filter on is_train becomes a semi or anti join of documents
     lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("is_train", F.lit(True))
     docs = docs.join(lab, "doc_id", "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
-    return windows(docs, window).select(*cols, "is_train", "doc_id", F.col("k").cast("int").alias("k"))
+    return windows(docs, window).select(*cols, "is_train", "doc_id", F.col("k").cast("int").alias("k"), *keep)
 
 
 def split(seq_df: DataFrame) -> tuple[DataFrame, DataFrame]:
