@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from labelflow.session import checkpoint_dir
 
 #: ASCII white space, as the contracts define it: [\x20\x09-\x0D]
 WHITE = " \t\n\x0b\x0c\r"
-#: a word is a maximal run of anything else
+#: rows that a Python stage works on at a time
+SLICE = 1024
+#: a word is a maximal run of anything but white space
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -49,3 +54,24 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for batches of SLICE rows (a batch of whole texts is large), returning to the system, at the end of the task, the memory
+    that Arrow and the C library would hold on to: a worker outlives its task, and idle ones count."""
+
+    def slices(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                yield b.slice(lo, SLICE)
+
+    def frugal(batches):
+        try:
+            yield from run(slices(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return frugal

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import stored, text_or_empty, unused
+from labelflow.llm.common import sparing, stored, text_or_empty, unused
 from labelflow.llm.components import components
 from labelflow.llm.words import WordHash, mix, ngram_hashes, word_hashes, words_of
 
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, n: int, trees: int = TREES, depth: int = DEPTH)
 
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, row bigint, node bigint, n_shingles int, labels binary")
+    return rows.mapInArrow(sparing(run), "doc_id bigint, row bigint, node bigint, n_shingles int, labels binary")
 
 
 def _scan_trie(prefix: int):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm import gbt
-from labelflow.llm.common import WHITE
+from labelflow.llm.common import WHITE, sparing
 from labelflow.llm.words import WordHash, ngram_hashes, word_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +69,7 @@ def document_statistics(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
                                              names=["doc_id", *COUNTS, "features", *keep])
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", features array<double>" + passed
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep).mapInArrow(sparing(run), schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, model: gbt.Trees, keep_at: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(COUNTS) + 1], pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_at))], names=["doc_id", *COUNTS, "base_failed", "p_good", "kept"])
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, p_good double, kept boolean"
-    return document_statistics(docs).mapInArrow(run, schema)
+    return document_statistics(docs).mapInArrow(sparing(run), schema)
 
 
 def keep_good(docs: DataFrame, model: gbt.Trees, keep_at: float = 0.5) -> DataFrame:
@@ -122,4 +122,4 @@ def keep_good(docs: DataFrame, model: gbt.Trees, keep_at: float = 0.5) -> DataFr
                 ok &= model.probability(x) >= keep_at
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sparing(run), schema)

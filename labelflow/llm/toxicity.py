@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import stored
+from labelflow.llm.common import sparing, stored
 from labelflow.llm.near_dup import minhash, permutations, shingle_set
 from labelflow.llm.quality import labelled_sample
-from labelflow.llm.words import WordHash, mix
+from labelflow.llm.words import TABLE_ROWS, WordHash, mix
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: score of a word without significant log-odds, at most (clean text with many weighted words needs a lower one)
@@ -82,7 +82,7 @@ class WordWeights(dict):
         self.units = units
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
+        if len(self) >= TABLE_ROWS:
             self.clear()
         got = [u for u in map(self.units.get, units_of(word)) if u]
         self[word] = w = max(got, key=lambda u: abs(u[1]))[0] if got else 0.0
@@ -199,7 +199,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
 
     sample = labelled_sample(docs, labels.where(~is_held_out(F.col("doc_id"))), "toxic", max_train_rows).select("text", "y")
     # the words of a text that was copied often would look significant: of copies with one label the smallest is counted
-    once = stored(sample.mapInArrow(mark, "text string, y int, node bigint, sig binary").groupBy("node", "y").agg(F.min(F.struct("text", "sig")).alias("r"))
+    once = stored(sample.mapInArrow(sparing(mark), "text string, y int, node bigint, sig binary").groupBy("node", "y").agg(F.min(F.struct("text", "sig")).alias("r"))
                   .select("r.text", "y", "node", "r.sig"), "toxicity-train")
     # the signatures of the bounded sample: half a kilobyte a text
     marked = once.select("node", "y", "sig").orderBy("y", "node").toPandas()
@@ -207,12 +207,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     weight = near_copy_weights(np.frombuffer(b"".join(map(bytes, marked["sig"])), "<u2").reshape(-1, BANDS * BAND), y)
     shared = {(int(k), int(v)): int(w) for k, v, w in zip(marked["node"], y, weight) if w != ONE}
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = [shared.get(k, ONE) for k in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.int64())], names=["text", "y", "w"])
+    # what every pass reads, each in one Python stage: a chain of them keeps two workers a core
+    train = once.select("text", "y", "node")
+
+    def weights(batch: pa.RecordBatch) -> list[int]:
+        return [shared.get(k, ONE) for k in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
 
-    train = once.select("text", "y", "node").mapInArrow(weigh, "text string, y int, w bigint")
     n1, n0 = (float(weight[y == v].sum()) / ONE for v in (1, 0))
     if not n1 or not n0:
         return ToxicityModel()
@@ -220,15 +220,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                unit, a, b0 = [], [], []
-                for t, v, w in zip(b.column(0).slice(lo, 64), b.column(1).slice(lo, 64).to_pylist(), b.column(2).slice(lo, 64).to_pylist()):
+                part, unit, a, b0 = b.slice(lo, 64), [], [], []
+                for t, v, w in zip(part.column(0), part.column(1).to_pylist(), weights(part)):
                     seen = {u for x in set(tokens_of(t.as_py() or "")) for u in units_of(x)}
                     unit += seen
                     a += [w * v] * len(seen)
                     b0 += [w * (1 - v)] * len(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.string()), pa.array(a, pa.int64()), pa.array(b0, pa.int64())], names=["unit", "a", "b"])
 
-    freq = (train.mapInArrow(units, "unit string, a bigint, b bigint").groupBy("unit")
+    freq = (train.mapInArrow(sparing(units), "unit string, a bigint, b bigint").groupBy("unit")
             .agg((F.sum("a") / ONE).alias("a"), (F.sum("b") / ONE).alias("b")))
     # the largest of n standard normal scores is about sqrt(2 log n): more texts need stronger evidence
     z_min = z_scale * float(np.sqrt(2 * np.log(max(n1 + n0, 2))))
@@ -246,11 +246,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
         for batch in batches:
             words = [list(map(model.weights.__getitem__, tokens_of(t.as_py() or ""))) for t in batch.column(0)]
             s, which = np.unique(np.array([v for x in words for v in x], np.float64), return_inverse=True)
-            many = np.bincount(which, np.repeat(batch.column(1).to_numpy(), list(map(len, words))), len(s))
+            many = np.bincount(which, np.repeat(weights(batch), list(map(len, words))), len(s))
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(many.astype(np.int64))], names=["s", "n"])
 
     # how often clean text has each weight: at most one row per unit
-    back = train.where("y = 0").select("text", "w").mapInArrow(background, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
+    back = train.where("y = 0").mapInArrow(sparing(background), "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
     s, p = back["s"].to_numpy(float), back["n"].to_numpy(float)
     p = p / p.sum()
     weighted = s != 0
@@ -261,9 +261,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [model.features(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1), batch.column(2)], names=["best", "total", "y", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1), pa.array(weights(batch), pa.int64())], names=["best", "total", "y", "w"])
 
-    x = train.mapInArrow(features, "best double, total double, y int, w bigint").toPandas().sort_values(["best", "total", "y", "w"])
+    x = train.mapInArrow(sparing(features), "best double, total double, y int, w bigint").toPandas().sort_values(["best", "total", "y", "w"])
     model.coef = logistic(x[["best", "total"]].to_numpy(float), x["y"].to_numpy(float), weight=x["w"].to_numpy(float) / ONE)
     return model
 
@@ -295,4 +295,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py() or "") < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -7,7 +7,7 @@ import numpy as np
 from labelflow.llm.common import WHITE
 
 #: entries of a task's word table before it is emptied
-TABLE_ROWS = 400_000
+TABLE_ROWS = 50_000
 _SPACES = str.maketrans({c: " " for c in WHITE})
 
 
