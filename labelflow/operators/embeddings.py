@@ -59,16 +59,23 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def map_matrix(df: DataFrame, vec_col: str, keep: tuple[str, ...], fn, out: str) -> DataFrame:
-    """(*keep, out): fn applied to the batch's vectors as one (rows, dims) matrix."""
+    """(*keep, out): fn applied to the batch's vectors as one (rows, dims) matrix. A vector that is null or holds a null gives null."""
     def run(batches):
         for b in batches:
-            v = b.column(0)
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else None
-            if x is not None:
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], _lists(np.asarray(fn(x), dtype=np.float64))], names=[*keep, out])
+            good = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            whole = b.column(0).take(pa.array(np.flatnonzero(good)))
+            if not len(whole):
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.nulls(b.num_rows, pa.list_(pa.float64()))], names=[*keep, out])
+                continue
+            lists = _lists(np.asarray(fn(whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)), dtype=np.float64))
+            if not good.all():
+                lists = lists.take(pa.array(np.where(good, np.cumsum(good) - 1, 0), mask=~good))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], names=[*keep, out])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} array<double>"
-    return df.select(as_doubles(vec_col).alias("_v"), *keep).mapInArrow(run, schema)
+    v = as_doubles(vec_col)
+    return df.select(F.when(~F.exists(v, lambda x: x.isNull()), v).alias("_v"), *keep).mapInArrow(run, schema)
 
 
 def projection_head(df: DataFrame, vec_col: str, w1: np.ndarray, w2: np.ndarray, keep: tuple[str, ...], out: str = "x") -> DataFrame:
@@ -102,15 +109,18 @@ def masked_mean_pool(df: DataFrame, tokens: str, mask: str, vectors: np.ndarray,
     return df.select(F.col(tokens).cast("array<int>"), F.col(mask).cast("array<int>"), *keep).mapInArrow(run, schema)
 
 
-def embed_sequences(df: DataFrame, seq: str, encoder, keep: tuple[str, ...], out: str = "embedding") -> DataFrame:
-    """(*keep, out): one vector per sequence from ``encoder``, a function from a list of strings to a (rows, dims)
-    matrix that is shipped to the tasks and called per Arrow batch (a token-vector model, a k-mer composition, or a
-    backbone that the caller loads inside it). A null sequence is encoded as the empty one."""
+def embed_sequences(df: DataFrame, seq: str, encoder, keep: tuple[str, ...], out: str = "embedding", batch: int = 1024, factory: bool = False) -> DataFrame:
+    """(*keep, out): one vector per sequence from ``encoder``, a function from a list of at most ``batch`` strings to a (rows,
+    dims) matrix (a token-vector model, a k-mer composition). With ``factory`` it is instead a function without arguments that makes such
+    an encoder, called once in each task that has rows: a backbone is loaded where it runs and never shipped. A null sequence
+    is encoded as the empty one."""
     def run(batches):
+        encode = None
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                x = encoder([s or "" for s in part.column(0).to_pylist()])
+            for lo in range(0, b.num_rows, batch):
+                part = b.slice(lo, batch)
+                encode = encode or (encoder() if factory else encoder)
+                x = encode([s or "" for s in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], _lists(np.asarray(x, dtype=np.float64))], names=[*keep, out])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {out} array<double>"
