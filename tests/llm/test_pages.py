@@ -6,6 +6,8 @@ import hashlib
 import heapq
 import io
 import random
+import time
+from collections import Counter
 
 import pytest
 from conftest import SF_SMALL
@@ -96,6 +98,64 @@ def test_unclosed_quotes_take_linear_time(model):
     assert model.extract("<p>a</p>" + "<a href='" * 20_000) == "a"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div id='content'><h1>Title</h1><p>Body text one.</p><div class='ad'>Buy now</div><p>Two.</p></div>", "Title\nBody text one.\nTwo."),
+    (f"<div id='story'><p>Body text one.</p><div class='ad'>{'buy ' * 16}</div><p>Two.</p></div><div class='nav'>{'x ' * 20}</div>", "Body text one.\nTwo."),
+    (f"<div id='x'><p>Body text one of many.</p><div class='ad'>{'buy ' * 40}</div><p>Two and three.</p></div>", "Body text one of many.\nTwo and three."),
+    (f"<div id='content'><div><p>One.</p></div><div class='promo'><div>{'buy ' * 40}</div></div><div><p>A longer second part of it.</p></div></div>", "One.\nA longer second part of it."),
+    ("<article><p>One</p><span class='ad'>buy <i class='promo'>now</span> <p>Two.</p></article>", "One\nTwo."),
+])
+def test_text_behind_furniture(model, page, text):
+    assert model.extract(page) == text
+
+
+@pytest.mark.parametrize("page, words", [
+    ("<div>" * 100_000 + "deep", 1), ("<div><p>word " * 50_000, 50_000), ("<span class='ad'>x" * 50_000, 0), ("a <span class='ad'>x</span> " * 50_000, 50_000),
+    ("<b class='ad'>" * 30_000 + "</i></p><p>" * 30_000 + "deep", 0)])
+def test_deep_pages_take_linear_time(model, page, words):
+    t = time.monotonic()
+    assert len(model.extract(page).split()) == words
+    html_main.count_page(f"<article>{page}")
+    assert time.monotonic() - t < 60  # hours, if every tag walked its ancestors
+
+
+def test_counts_against_a_walk_up_every_block():
+    rng, bits = random.Random(3), """<div>|</div>|<div class='ad'>|<p>|</p>|words here and|more|<article>|</article>|<span class=ad>|</span>|<form>|</form>|<div id=content>|<aside>|</aside>
+        |<ul><li>|</ul>|<header>|</header>|<article class='comment'>|<section class='post'>|</section>|<nav>|</nav>|<main>|</main>|<div class='banner post'>|<i class=promo>|</i>""".split("|")
+    counted = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 50)))
+        page = html_main.parse(text)
+        frame = html_main.Frame(page)
+        rows = []
+        for kind, what, e in page.items:
+            around = []
+            while e >= 0:
+                around.insert(0, e)
+                e = page.parent[e]
+            own = next((i for i, x in enumerate(around) if x in frame.own), -1)
+            below = around[own + 1:]
+            furniture = any(x not in frame.framed and html_main.is_furniture(page.keys[x]) for x in below)
+            rows.append((kind, what, {k for x in (below if furniture else around) for k in page.keys[x] if not furniture or k in html_main.FURNITURE}, kind == "block" and own >= 0 and not furniture, furniture))
+        inside, want = [i for i, r in enumerate(rows) if r[3]], Counter()
+        for i, (kind, what, keys, good, furniture) in enumerate(rows if inside else []):
+            if kind == "tag" and not furniture:
+                want["tag", what, inside[0] <= i <= inside[-1]] += 1
+            for k in keys if kind == "block" else ():
+                want["word", k, good] += len(what.split(" "))
+        assert html_main.count_page(text) == want
+        counted += bool(want)
+    assert counted > 500
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_region_is_the_best(seed):
+    rng = random.Random(seed)
+    score = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 40))]
+    lo, hi = html_main.best_region(score)
+    assert sum(score[lo:hi]) == max([0.0] + [sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)])
+
+
 # -- archives
 
 ROWS = [(5, "https://www.b.example.com/x?Q=1", "same"), (3, "http://a.example.com/", "same"), (9, "http://a.example.com/", "same"), (4, "http://c.org/é x", None), (6, "not a url", ""), (7, None, "<p>ünï</p>\r\n\r\nWARC/1.1"),
