@@ -181,9 +181,9 @@ def near_copy_weights(sig: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ONE // np.bincount(group)[group]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_scale: float = 0.9, min_log_odds: float = 1.5, max_units: int = 200_000) -> ToxicityModel:
-    """The model of the labelled rows that are not held out. Of the units of that bounded sample, those with
-    significant log-odds come to the driver (the max_units strongest)."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, prior: float = 100.0, z_scale: float = 0.9, min_log_odds: float = 1.5) -> ToxicityModel:
+    """The model of the labelled rows that are not held out. Of the units of that bounded sample, all with
+    significant log-odds come to the driver."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -237,7 +237,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     a, b = F.col("a") + m, F.col("b") + m
     delta = F.log(a / (n1 + prior - a + 1)) - F.log(b / (n0 + prior - b + 1))
     rows = (freq.select("unit", delta.alias("d"), (delta / F.sqrt(1 / a + 1 / b)).alias("z"))
-            .where((F.abs("z") > z_min) & (F.abs("d") >= min_log_odds)).orderBy(F.abs("z").desc(), "unit").limit(max_units).collect())
+            .where((F.abs("z") > z_min) & (F.abs("d") >= min_log_odds)).orderBy(F.abs("z").desc(), "unit").collect())
     model = ToxicityModel(WordWeights({r["unit"]: (float(r["d"]), float(r["z"])) for r in rows}))
     if not rows:
         return model
