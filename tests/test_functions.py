@@ -33,3 +33,10 @@ def test_md5_uniform_deterministic(spark):
     a = [r.u for r in df.orderBy("id").collect()]
     b = [r.u for r in df.repartition(3).orderBy("id").collect()]
     assert a == b and all(0 <= x < 1 for x in a)
+
+
+def test_token_mask_does_not_tokenise_again(spark):
+    df = spark.createDataFrame([("ACDEFG",), (None,)], "sequence string")
+    _, mask = TK.tokenize_fixed("sequence", 256)
+    assert "split(" not in df.select(mask.alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert [r.n for r in df.select(F.aggregate(mask, F.lit(0), lambda a, m: a + m).alias("n")).collect()] == [8, None]
